@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanix.llm import frequency, weighting
+from gleanix.llm import canonical, frequency, weighting
 
-MODULES = [frequency, weighting]
+MODULES = [frequency, canonical, weighting]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
