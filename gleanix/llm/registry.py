@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanix.llm import canonical, encoding, frequency, weighting
+from gleanix.llm import canonical, encoding, frequency, near, weighting
 
-MODULES = [frequency, canonical, weighting, encoding]
+MODULES = [frequency, near, canonical, weighting, encoding]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
