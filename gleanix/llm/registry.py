@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanix.llm import canonical, encoding, frequency, near, weighting
+from gleanix.llm import canonical, encoding, frequency, mixing, near, packing, weighting
 
-MODULES = [frequency, near, canonical, weighting, encoding]
+MODULES = [frequency, near, canonical, weighting, encoding, packing, mixing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
