@@ -48,13 +48,15 @@ def _key(kind: int, *parts: np.ndarray) -> np.ndarray:
     return h
 
 
-def parity(w: np.ndarray) -> int:
-    """A 64-bit fingerprint: bit b is the parity of the words whose hash falls on b.
+def parity(w: np.ndarray) -> tuple[int, int]:
+    """A 128-bit fingerprint, as two numbers: bit b is the parity of the words whose hash falls on b.
 
     Every word in one set only flips one bit, so the Hamming distance of two
     fingerprints is at most the number of words in which the sets differ.
     """
-    return int(np.bitwise_xor.reduce(np.uint64(1) << (w & np.uint64(63))).astype(np.int64)) if len(w) else 0
+    bit, high = np.uint64(1) << (w & np.uint64(63)), (w >> np.uint64(6)) & np.uint64(1)
+    low, upper = np.bitwise_xor.reduce(bit[high == 0], initial=np.uint64(0)), np.bitwise_xor.reduce(bit[high == 1], initial=np.uint64(0))
+    return int(low.astype(np.int64)), int(upper.astype(np.int64))
 
 
 def pivot_table(w: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
@@ -111,7 +113,7 @@ def signatures(df: np.ndarray, w: np.ndarray, n: int, threshold: float) -> Itera
                 yield role, _key(3, np.repeat(hot[i], reps), np.repeat(hot[j], reps), hot[third])
 
 
-_KEYS = "role INT, key BIGINT, id BIGINT, size INT, print BIGINT"
+_KEYS = "role INT, key BIGINT, id BIGINT, size INT, low BIGINT, high BIGINT"
 
 
 def _sign(n: int, threshold: float):
@@ -123,25 +125,25 @@ def _sign(n: int, threshold: float):
             w_all = w_col.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             f_all = f_col.values.to_numpy(zero_copy_only=False)
             f_at = f_col.offsets.to_numpy()
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
             held = 0
 
             def flush():
                 arrays = [np.concatenate(x) for x in out]
                 for x in out:
                     x.clear()
-                return pa.RecordBatch.from_arrays([pa.array(arrays[0], pa.int32()), pa.array(arrays[1].view(np.int64)), pa.array(arrays[2]), pa.array(arrays[3], pa.int32()), pa.array(arrays[4])], names=["role", "key", "id", "size", "print"])
+                return pa.RecordBatch.from_arrays([pa.array(arrays[0], pa.int32()), pa.array(arrays[1].view(np.int64)), pa.array(arrays[2]), pa.array(arrays[3], pa.int32()), pa.array(arrays[4]), pa.array(arrays[5])], names=["role", "key", "id", "size", "low", "high"])
 
             with np.errstate(over="ignore"):
                 for k, doc in enumerate(ids):
                     w = w_all[at[k] : at[k + 1]]
                     f = f_all[f_at[k] : f_at[k + 1]]
-                    p = parity(w)
+                    low, high = parity(w)
                     for role, keys in signatures(f, w, n, threshold):
                         keys = np.unique(keys)
                         m = len(keys)
                         held += m
-                        for x, v in zip(out, (np.full(m, role, np.int32), keys, np.full(m, doc, np.int64), np.full(m, len(w), np.int32), np.full(m, p, np.int64))):
+                        for x, v in zip(out, (np.full(m, role, np.int32), keys, np.full(m, doc, np.int64), np.full(m, len(w), np.int32), np.full(m, low, np.int64), np.full(m, high, np.int64))):
                             x.append(v)
                     if held > 200_000:
                         yield flush()
@@ -181,10 +183,11 @@ def similar_sets(sets: DataFrame, threshold: float = 0.6) -> DataFrame:
     ranked = join_stats(each, lexicon, "w", "f", total).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("r"))
     keys = cut(ranked.select("id", F.col("r.w").alias("w"), F.col("r.f").alias("f")).mapInArrow(_sign(n, threshold), _KEYS), "keys")
     slack = (1 - threshold) / (1 + threshold)
-    x = keys.where("role = 0").select("key", F.col("id").alias("a"), F.col("size").alias("s"), F.col("print").alias("p"))
-    y = keys.where("role = 1").select("key", F.col("id").alias("b"), F.col("size").alias("t"), F.col("print").alias("q"))
+    x = keys.where("role = 0").select("key", F.col("id").alias("a"), F.col("size").alias("s"), F.col("low").alias("l1"), F.col("high").alias("h1"))
+    y = keys.where("role = 1").select("key", F.col("id").alias("b"), F.col("size").alias("t"), F.col("low").alias("l2"), F.col("high").alias("h2"))
     far = F.col("s") + F.col("t")
-    met = x.hint("merge").join(y, "key").where("s < t OR s = t AND a < b").where(F.col("s") >= F.lit(threshold) * F.col("t") - 1e-9).where(F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= F.lit(slack) * far + 1e-9)
+    prints = F.bit_count(F.col("l1").bitwiseXOR(F.col("l2"))) + F.bit_count(F.col("h1").bitwiseXOR(F.col("h2")))
+    met = x.hint("merge").join(y, "key").where("s < t OR s = t AND a < b").where(F.col("s") >= F.lit(threshold) * F.col("t") - 1e-9).where(prints <= F.lit(slack) * far + 1e-9)
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tables = cut(sets.select("id", "words").mapInArrow(_tables, "id BIGINT, words ARRAY<BIGINT>, pivots ARRAY<INT>"), "pivots")
     side = lambda c, i: tables.select(F.col("id").alias(c), F.col("words").alias(f"w{i}"), F.col("pivots").alias(f"v{i}"))
