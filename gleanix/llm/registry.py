@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanix.llm import canonical, encoding, frequency, mixing, near, packing, weighting
+from gleanix.llm import canonical, encoding, frequency, mixing, near, packing, truncation, weighting
 
-MODULES = [frequency, near, canonical, weighting, encoding, packing, mixing]
+MODULES = [frequency, near, canonical, weighting, encoding, packing, mixing, truncation]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
