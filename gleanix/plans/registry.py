@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanix.plans import heavy
+from gleanix.plans import heavy, retrieval
 
-MODULES = [heavy]
+MODULES = [retrieval, heavy]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
