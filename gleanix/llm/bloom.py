@@ -113,10 +113,11 @@ def possibly_repeated(df: DataFrame, column: str, bits: np.ndarray, log_bits: in
     @F.pandas_udf("boolean")
     def test(h: pd.Series) -> pd.Series:
         bits = shared.value
-        at = _positions(h.fillna(0).to_numpy(np.int64), log_bits).astype(np.int64)
+        at = _positions(h.to_numpy(np.int64), log_bits).astype(np.int64)
         hit = np.ones(len(h), bool)
         for row in at:
             hit &= (bits[row >> 3] >> (row & 7).astype(np.uint8)) & 1 == 1
-        return pd.Series(hit & h.notna().to_numpy())
+        return pd.Series(hit)
 
-    return test(column)
+    # nulls would turn the whole numbers of a batch into floats
+    return F.col(column).isNotNull() & test(F.coalesce(column, F.lit(0).cast("bigint")))

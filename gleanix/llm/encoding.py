@@ -22,9 +22,10 @@ LOST = "lost"
 ENTITY = "entity"
 CLEAN = "clean"
 _ENTITIES = re.compile(r"&(?:#\d{2,7}|#x[0-9a-fA-F]{2,6}|[A-Za-z]{2,8}\d{0,2});")
-_SMOOTH = 0.05
 _BACKOFF = 0.02
 _FLOOR = 1e-4
+#: Log of how often a sound character beyond ASCII follows another.
+_ADJACENT = math.log(0.1)
 
 
 @lru_cache(maxsize=None)
@@ -120,30 +121,41 @@ def signs(records: DataFrame) -> DataFrame:
     return records.where(F.col("doc_in").rlike(r"[^\x00-\x7F]|&#?\w+;")).mapInPandas(scan, _EVIDENCE)
 
 
-def character_counts(records: DataFrame) -> tuple[Counter, float]:
-    """How often each character beyond ASCII occurs, and the length of all texts.  The alphabet bounds what the driver gets."""
-    total = records.agg(F.sum(F.length("doc_in").cast("double")).alias("n")).first().n or 0.0
-    odd = records.select(F.regexp_replace("doc_in", r"[\x00-\x7F]+", "").alias("t")).where("t <> ''")
+def character_counts(records: DataFrame) -> Counter:
+    """How often each character beyond ASCII occurs.  The alphabet bounds what the driver gets.
+
+    U+FFFD is left out: it stands for a lost character, whoever wrote it down.
+    """
+    odd = records.select(F.regexp_replace("doc_in", r"[\x00-\x7F\x{FFFD}]+", "").alias("t")).where("t <> ''")
     rows = odd.select(F.explode(F.split("t", "")).alias("c")).where("c <> ''").groupBy("c").count().collect()
-    return Counter({r.c: r["count"] for r in rows}), total
+    return Counter({r.c: r["count"] for r in rows})
+
 
+def _usual(c: str) -> float:
+    """Counts added to letters and marks that Western texts use, seen before or not."""
+    return 1.0 if 0xA0 <= ord(c) <= 0xFF or 0x2010 <= ord(c) <= 0x203A or c in "€™" else 0.02 if 0x100 <= ord(c) <= 0x17F else 0.0
 
-def _score(chars: Counter, total: float):
+
+def _score(chars: Counter):
     """The log of how much likelier each row's sequences are under its chain than as sound text.
 
-    A character's probability is its share of all characters, backed off to its
-    block of 128 code points.  A sound letter next to one of the same block is
-    likelier than that: words keep to one script.
+    A character's probability is its share of the characters beyond ASCII,
+    backed off to its block of 128 code points.  In sound text few of them
+    stand side by side, but letters of one block do: words keep to one script.
     """
-    log_total = math.log(total + 1)
     blocks: Counter = Counter()
     for c, n in chars.items():
         blocks[ord(c) >> 7] += max(0.0, n)
-    any_odd = math.log(sum(blocks.values()) + _SMOOTH) - log_total
+    log_total = math.log(sum(blocks.values()) + 1)
     counts = {c: max(0.0, n) for c, n in chars.items()}
 
     def p(c: str) -> float:
-        return math.log(counts.get(c, 0.0) + _BACKOFF * blocks[ord(c) >> 7] / 128 + _FLOOR) - log_total
+        return math.log(counts.get(c, 0.0) + _BACKOFF * blocks[ord(c) >> 7] / 128 + max(_usual(c), _FLOOR)) - log_total
+
+    def original(u: str, width: int) -> float:
+        """A character without any support is less likely than any ``width`` characters that do occur."""
+        supported = _usual(u) or counts.get(u, 0.0) + _BACKOFF * blocks[ord(u) >> 7] / 128 > 0.01
+        return p(u) if supported else math.log(_FLOOR) - width * (log_total - _ADJACENT)
 
     def sound(g: str) -> float:
         logs, before = 0.0, ""
@@ -154,12 +166,14 @@ def _score(chars: Counter, total: float):
             logs += p(c)
             if before.isalpha() and c.isalpha() and ord(before) >> 7 == ord(c) >> 7:
                 logs += log_total - math.log(2 * blocks[ord(c) >> 7] + 1)
+            elif before:
+                logs += _ADJACENT
             before = c
         return logs
 
     @F.pandas_udf("double")
     def score(garbled: pd.Series, restored: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([sum(k * ((sum(p(c) for c in u) if u else any_odd) - sound(g)) for g, u, k in zip(gs, us, ks)) for gs, us, ks in zip(garbled, restored, n)], dtype="float64")
+        return pd.Series([sum(k * ((original(u, len(g)) if u else 0.0) - sound(g)) for g, u, k in zip(gs, us, ks)) for gs, us, ks in zip(garbled, restored, n)], dtype="float64")
 
     return score
 
@@ -178,14 +192,14 @@ def posteriors(records: DataFrame, rounds: int = 4, pull: float = 20.0) -> DataF
     """
     records = records.where("doc_in IS NOT NULL").withColumn("feed", F.coalesce("feed", F.lit("")))
     found = cut(signs(records), "signs")
-    base, total = character_counts(records)
+    base = character_counts(records)
     feeds = records.groupBy("feed").agg(F.count(F.lit(1)).cast("double").alias("n_feed"))
     n_all = records.count()
     chars = base
     weights = cut(found.groupBy("feed", "chain").agg(F.countDistinct("doc_id").cast("double").alias("w")), "weights")
     feeds = cut(feeds, "feeds")
     for k in range(rounds):
-        post = cut(_expect(found, weights, feeds, n_all, pull, _score(chars, total)), "posterior")
+        post = cut(_expect(found, weights, feeds, n_all, pull, _score(chars)), "posterior")
         if k == rounds - 1:
             return post.select("doc_id", "chain", "posterior")
         weights = cut(post.groupBy("feed", "chain").agg(F.sum("posterior").alias("w")), "weights")
@@ -198,7 +212,7 @@ def _expect(found: DataFrame, weights: DataFrame, feeds: DataFrame, n_all: int,
     prior = weights.join(feeds, "feed").join(F.broadcast(overall), "chain")  # one row for each of a fixed set of chains
     garbled = weights.groupBy("feed").agg(F.sum("w").alias("w_feed"))
     prior = prior.join(garbled, "feed").select("feed", "chain", ((F.col("w") + pull * F.col("share")) / (F.col("n_feed") + pull)).alias("p"), (F.greatest(F.col("n_feed") - F.col("w_feed"), F.lit(0.5)) / F.col("n_feed")).alias("p_clean"))
-    odds = found.withColumn("llr", score("garbled", "restored", "n")).join(prior, ["feed", "chain"]).withColumn("x", F.greatest(F.lit(-600.0), F.least(F.lit(600.0), F.col("llr"))) + F.ln(F.greatest("p", F.lit(1e-12))) - F.ln("p_clean"))
+    odds = found.withColumn("llr", score("garbled", "restored", "n")).join(prior, ["feed", "chain"]).withColumn("x", F.col("llr") + F.ln(F.greatest("p", F.lit(1e-12))) - F.ln("p_clean"))
     top = odds.groupBy("doc_id").agg(F.max("x").alias("top"), F.collect_list("x").alias("xs"))  # at most one x for each chain
     norm = top.select("doc_id", (F.greatest("top", F.lit(0.0)) + F.ln(F.aggregate("xs", F.exp(-F.greatest("top", F.lit(0.0))), lambda a, x: a + F.exp(x - F.greatest("top", F.lit(0.0)))))).alias("norm"))
     return odds.join(norm, "doc_id").withColumn("posterior", F.exp(F.col("x") - F.col("norm"))).select("doc_id", "feed", "chain", "garbled", "restored", "n", "posterior")
@@ -211,7 +225,8 @@ def _maximise(base: Counter, post: DataFrame) -> Counter:
     come = seq.select(F.explode(F.split("s.restored", "")).alias("c"), weight.alias("w"))
     chars = Counter(base)
     for r in gone.unionByName(come).where("c <> ''").groupBy("c").agg(F.sum("w").alias("w")).collect():
-        chars[r.c] = max(0.0, chars[r.c] + r.w)
+        if r.w <= 0 or base[r.c] > 0 or _usual(r.c) == 1.0:  # traces alone don't make a character one of the language's
+            chars[r.c] = max(0.0, chars[r.c] + r.w)
     return chars
 
 

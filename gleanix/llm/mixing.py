@@ -15,6 +15,7 @@ from gleanix.sources.tables import table
 
 #: Parts of a (source, length) group by seeded hash; only one part of a group is ever ranked.
 PARTS = 1024
+TARGET = ["source", "target_share", "max_repeats"]
 #: The remaining budget, in tokens, that is left to dynamic programming.
 EXACT = 65_536
 
@@ -98,7 +99,7 @@ def plan(histogram: DataFrame, targets: DataFrame, total_tokens: int, seed: int
         more = fit(lengths, counts, budget - rounds * supply, seed) if rounds < most else [0] * len(lengths)
         return pd.DataFrame({"src": p.src, "tokens": p.tokens, "rounds": rounds, "more": more})
 
-    return histogram.join(F.broadcast(targets.where("source IS NOT NULL AND target_share > 0 AND max_repeats > 0")), F.col("src") == F.col("source")).groupBy("src").applyInPandas(of_source, "src STRING, tokens INT, rounds INT, more BIGINT")
+    return histogram.select("src", "tokens", "n").join(F.broadcast(targets.select(*TARGET).where("source IS NOT NULL AND target_share > 0 AND max_repeats > 0")), F.col("src") == F.col("source")).groupBy("src").applyInPandas(of_source, "src STRING, tokens INT, rounds INT, more BIGINT")
 
 
 def feasible_total(supplies: list[tuple[float, int, int]]) -> int:
@@ -131,7 +132,7 @@ def mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
 def supplies(histogram: DataFrame, targets: DataFrame) -> DataFrame:
     """One row per target: (source, target_share, max_repeats, documents, tokens) with zeros where it has no documents."""
     per = histogram.groupBy("src").agg(F.sum("n").alias("documents"), F.sum(F.col("n") * F.col("tokens")).alias("tokens"))
-    return targets.join(per, F.col("source") == F.col("src"), "left").select("source", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    return targets.select(*TARGET).join(per, F.col("source") == F.col("src"), "left").select("source", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
 
 
 def report(mixture: DataFrame, sized: DataFrame, targets: DataFrame, label: str) -> DataFrame:

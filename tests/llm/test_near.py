@@ -1,0 +1,111 @@
+import itertools
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import regex
+from gleanix.llm import near as N
+from gleanix.llm.components import components
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tests_llm_rows import T0, T1
+
+WORD = regex.compile(r"[\p{L}\p{N}]+")
+
+
+def brute(texts: dict[int, str]) -> set[tuple[int, int]]:
+    bags = {i: Counter(WORD.findall(t.lower())) for i, t in texts.items() if t}
+    bags = {i: b for i, b in bags.items() if b}
+    return {(i, j) for i, j in itertools.combinations(sorted(bags), 2) if bags[i] != bags[j] and len(bags[i].keys() & bags[j].keys()) / len(bags[i].keys() | bags[j].keys()) >= 0.6}
+
+
+def _texts(seed: int, n: int = 260) -> dict[int, str]:
+    rng = random.Random(seed)
+    vocabulary = [f"w{k}" for k in range(150)]
+    out = {}
+    for i in range(n):
+        if i and rng.random() < 0.6:
+            words = out[rng.randrange(i)].split()
+            for _ in range(rng.randrange(0, 1 + len(words) // 3)):
+                k = rng.randrange(len(words))
+                words[k : k + 1] = rng.choice([[], [rng.choice(vocabulary)], [words[k], rng.choice(vocabulary)]])
+                words = words or ["w0"]
+        else:
+            words = rng.choices(vocabulary, [1 / (k + 1) for k in range(150)], k=rng.choice([1, 2, 3, 4, 5, 6, 9, 20, 45]))
+        out[i] = " ".join(words)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_found_equals_brute_force(spark, tables, seed, monkeypatch):
+    texts = _texts(seed)
+    if seed == 2:  # also the rules for common words, which small data hardly reach
+        monkeypatch.setattr(N, "RARE", 2)
+        monkeypatch.setattr(N, "EXPECTED", 1)
+    data = tables(collection_tsv=[(i, t, "f", T0) for i, t in texts.items()])
+    assert {tuple(r) for r in N.found(spark, data).collect()} == brute(texts)
+
+
+def test_long_sets_meet(spark, tables, monkeypatch):
+    monkeypatch.setattr(N, "LONG", 12)
+    texts = _texts(3)
+    data = tables(collection_tsv=[(i, t, "f", T0) for i, t in texts.items()])
+    assert {tuple(r) for r in N.found(spark, data).collect()} == brute(texts)
+
+
+def test_dirty_rows(spark, tables, same_as_sql):
+    texts = ["a b c d e", "A, b; c. d e f", "e d c b a", "a a b c d e", None, "", "!!", "x", "X", "x y", "x y z", "only " * 30_000, "only twice", "Été à l'île", "été l île à"]
+    rows = [(i, t, None, T0) for i, t in enumerate(texts)] + [(0, "a b c d e", "f", T1)]
+    data = tables(extra="words,form,bag,set,w,a,b", collection_tsv=rows)
+    same_as_sql(N.QUERIES["p3_found"], N.SQL["p3_found"], data)
+    assert {tuple(r) for r in N.found(spark, data).collect()} == brute({i: t for i, t in enumerate(texts) if t})
+    empty = tables()
+    assert N.found(spark, empty).collect() == N.groups(spark, empty).collect() == []
+
+
+def test_groups(spark, tables):
+    texts = _texts(4, 120)
+    for i in range(120, 150):
+        texts[i] = "w1 w2 w3 w4 w5 w6 w7"  # a group of copies
+    data = tables(collection_tsv=[(i, t, "f", T0) for i, t in texts.items()])
+    links, parent = brute(texts), {i: i for i in texts}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    bags = defaultdict(list)
+    for i, t in texts.items():
+        bags[tuple(sorted(t.split()))].append(i)
+    for i, j in [*links, *((b[0], i) for b in bags.values() for i in b)]:
+        a, b = root(i), root(j)
+        parent[max(a, b)] = min(a, b)
+    n = Counter(x for pair in links for x in pair)
+    assert {r.doc_id: (r.group_id, r.n_links) for r in N.groups(spark, data).collect()} == {i: (root(i), n[i]) for i in texts}
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.sets(st.integers(0, 2**63 - 1), min_size=1, max_size=60), st.sets(st.integers(0, 2**63 - 1), max_size=60))
+def test_bounds_hold(x, extra):
+    """Neither the fingerprints nor the pivots ever put sets farther apart than they are."""
+    y = set(list(x)[: len(x) // 2]) | extra or {1}
+    a, b = (np.array(sorted(s), np.uint64) for s in (x, y))
+    apart = len(x ^ y)
+    with np.errstate(over="ignore"):
+        assert sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(N.parity(a), N.parity(b))) <= apart
+        assert np.abs(N.pivot_table(a) - N.pivot_table(b)).max() <= apart
+
+
+def test_threshold_is_refused(spark):
+    with pytest.raises(ValueError):
+        N.similar_sets(spark.createDataFrame([], "id BIGINT, words ARRAY<BIGINT>"), 0.5)
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(60)]
+    links = spark.createDataFrame([*chain, (100, 101), (101, 100), (7, 7), (205, 200), (205, 203)], "a BIGINT, b BIGINT")
+    got = {r.node: r.component for r in components(links).collect()}
+    assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 200: 200, 203: 200, 205: 200}
+    assert components(links.limit(0)).collect() == []
