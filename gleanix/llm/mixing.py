@@ -99,7 +99,7 @@ def plan(histogram: DataFrame, targets: DataFrame, total_tokens: int, seed: int
         more = fit(lengths, counts, budget - rounds * supply, seed) if rounds < most else [0] * len(lengths)
         return pd.DataFrame({"src": p.src, "tokens": p.tokens, "rounds": rounds, "more": more})
 
-    return histogram.select("src", "tokens", "n").join(F.broadcast(targets.select(*TARGET).where("source IS NOT NULL AND target_share > 0 AND max_repeats > 0")), F.col("src") == F.col("source")).groupBy("src").applyInPandas(of_source, "src STRING, tokens INT, rounds INT, more BIGINT")
+    return histogram.select("src", "tokens", "n").join(targets.select(*TARGET).where("source IS NOT NULL AND target_share > 0 AND max_repeats > 0"), F.col("src") == F.col("source")).groupBy("src").applyInPandas(of_source, "src STRING, tokens INT, rounds INT, more BIGINT")
 
 
 def feasible_total(supplies: list[tuple[float, int, int]]) -> int:
