@@ -157,12 +157,13 @@ class Index:
     stemmed: bool
 
 
-def build_index(documents: DataFrame, path: str, stop: Iterable[str] | None = None, stemmed: bool = False, partitions: int | None = None) -> Index:
+def build_index(documents: DataFrame, path: str, stop: Iterable[str] | None = None, stemmed: bool = False, partitions: int | None = None, n_docs: int | None = None, floor: bool = True) -> Index:
     """(doc_id, text) -> an index written under ``path/variant=stem|raw``.
 
     Postings and lexicon are range-partitioned and sorted by term, so a lookup
-    of some terms reads only the row groups that can hold them.  Raises if a
-    doc_id occurs twice.
+    of some terms reads only the row groups that can hold them.  ``n_docs``
+    overrides the number of documents in the scores, ``floor=False`` keeps the
+    fractions of the mean length and of N / df.  Raises if a doc_id occurs twice.
     """
     spark = documents.sparkSession
     twice = documents.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).collect()
@@ -175,11 +176,13 @@ def build_index(documents: DataFrame, path: str, stop: Iterable[str] | None = No
     rows = postings(analysed)
     rows = rows.repartitionByRange(partitions, "term", "doc_id") if partitions else rows.repartitionByRange("term", "doc_id")
     rows.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{where}/postings")
-    stats = corpus_stats(documents, spark.read.parquet(f"{where}/doc_table"))
+    stats = corpus_stats(documents, spark.read.parquet(f"{where}/doc_table"), floor)
+    if n_docs is not None:
+        stats = stats.withColumn("n_docs", F.lit(n_docs).cast("bigint"))
     words = ",".join(stop) if stop is not None else None
     stats.withColumn("stop", F.lit(words).cast("string")).withColumn("stemmed", F.lit(stemmed)).write.mode("overwrite").parquet(f"{where}/corpus_stats")
     row = spark.read.parquet(f"{where}/corpus_stats").first()
-    table = lexicon(spark.read.parquet(f"{where}/postings"), row.n_docs, row.avgdl)
+    table = lexicon(spark.read.parquet(f"{where}/postings"), row.n_docs, row.avgdl, floor)
     table.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{where}/lexicon")
     return load_index(spark, path, stemmed)
 
