@@ -70,7 +70,7 @@ def pivot_table(w: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
     return (len(w) - 2 * bits.sum(0, dtype=np.int64)).astype(np.int32)
 
 
-def signatures(df: np.ndarray, w: np.ndarray, n: int, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+def signatures(df: np.ndarray, w: np.ndarray, n: int, threshold: float, rare: int = RARE, expected: int = EXPECTED, long: int = LONG) -> Iterator[tuple[int, np.ndarray]]:
     """(role, keys) of a set whose words come in order of (df, hash).
 
     Two sets with Jaccard similarity >= threshold >= 0.6 have a common key, one
@@ -88,12 +88,12 @@ def signatures(df: np.ndarray, w: np.ndarray, n: int, threshold: float) -> Itera
             yield 0, _key(4, w[:1], w[1:])
         if tiny and size == 3 and role == 1:
             yield 1, _key(4, w[[0, 0, 1]], w[[1, 2, 2]])
-        if role == 1 and size > LONG or role == 0 and size >= threshold * LONG:
+        if role == 1 and size > long or role == 0 and size >= threshold * long:
             yield role, _key(5, w[: size - need + 1])
-        if size < 3 or size > LONG:
+        if size < 3 or size > long:
             continue
         first = w[: min(size, size - max(3, need) + 3)]
-        common = df[: len(first)] > RARE
+        common = df[: len(first)] > rare
         if not common.all():
             yield role, _key(1, first[~common])
         hot, f = first[common], df[: len(first)][common].astype(np.float64)
@@ -101,7 +101,7 @@ def signatures(df: np.ndarray, w: np.ndarray, n: int, threshold: float) -> Itera
         if m < 2:
             continue
         i, j = np.triu_indices(m, 1)
-        light = f[i] * f[j] <= EXPECTED * float(n)
+        light = f[i] * f[j] <= expected * float(n)
         if light.any():
             yield role, _key(2, hot[i[light]], hot[j[light]])
         # words are in order of frequency: a triple's lightest pair is its first two
@@ -116,7 +116,7 @@ def signatures(df: np.ndarray, w: np.ndarray, n: int, threshold: float) -> Itera
 _KEYS = "role INT, key BIGINT, id BIGINT, size INT, low BIGINT, high BIGINT"
 
 
-def _sign(n: int, threshold: float):
+def _sign(*settings):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("id").to_numpy(zero_copy_only=False)
@@ -139,7 +139,7 @@ def _sign(n: int, threshold: float):
                     w = w_all[at[k] : at[k + 1]]
                     f = f_all[f_at[k] : f_at[k + 1]]
                     low, high = parity(w)
-                    for role, keys in signatures(f, w, n, threshold):
+                    for role, keys in signatures(f, w, *settings):
                         keys = np.unique(keys)
                         m = len(keys)
                         held += m
@@ -163,14 +163,15 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("id"), col, pa.array(pivots, pa.list_(pa.int32()))], names=["id", "words", "pivots"])
 
 
-def similar_sets(sets: DataFrame, threshold: float = 0.6) -> DataFrame:
+def similar_sets(sets: DataFrame, threshold: float = 0.6, rare: int = RARE, expected: int = EXPECTED, long: int = LONG) -> DataFrame:
     """(id, words) -> (a, b): the pairs of sets with Jaccard similarity >= threshold, a < b.
 
     ``sets`` is a written table of distinct sets of at least one word.  Pairs
     that cannot reach the threshold never meet (:func:`signatures`) or are
     discarded by the distance of their fingerprints while they meet; then those
     with too large a difference in one coordinate of the pivot distance table;
-    the survivors are verified word by word.  None of these loses a pair: sets
+    the survivors are verified word by word.  ``rare``, ``expected`` and
+    ``long`` only decide how many signatures and candidates there are.  None of these loses a pair: sets
     of s and t words that reach the threshold differ in at most
     (1 - threshold) / (1 + threshold) * (s + t) words.
     """
@@ -181,7 +182,7 @@ def similar_sets(sets: DataFrame, threshold: float = 0.6) -> DataFrame:
     lexicon = cut(each.groupBy("w").agg(F.count(F.lit(1)).alias("f")), "words")
     total = lexicon.agg(F.sum("f")).first()[0] or 0
     ranked = join_stats(each, lexicon, "w", "f", total).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("r"))
-    keys = cut(ranked.select("id", F.col("r.w").alias("w"), F.col("r.f").alias("f")).mapInArrow(_sign(n, threshold), _KEYS), "keys")
+    keys = cut(ranked.select("id", F.col("r.w").alias("w"), F.col("r.f").alias("f")).mapInArrow(_sign(n, threshold, rare, expected, long), _KEYS), "keys")
     slack = (1 - threshold) / (1 + threshold)
     x = keys.where("role = 0").select("key", F.col("id").alias("a"), F.col("size").alias("s"), F.col("low").alias("l1"), F.col("high").alias("h1"))
     y = keys.where("role = 1").select("key", F.col("id").alias("b"), F.col("size").alias("t"), F.col("low").alias("l2"), F.col("high").alias("h2"))

@@ -9,6 +9,7 @@ from gleanix.llm import near as N
 from gleanix.llm.components import components
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from gleanix.session import cut
 from tests_llm_rows import T0, T1
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -37,21 +38,22 @@ def _texts(seed: int, n: int = 260) -> dict[int, str]:
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_found_equals_brute_force(spark, tables, seed, monkeypatch):
-    texts = _texts(seed)
-    if seed == 2:  # also the rules for common words, which small data hardly reach
-        monkeypatch.setattr(N, "RARE", 2)
-        monkeypatch.setattr(N, "EXPECTED", 1)
+def test_found_equals_brute_force(spark, tables):
+    texts = _texts(1)
     data = tables(collection_tsv=[(i, t, "f", T0) for i, t in texts.items()])
     assert {tuple(r) for r in N.found(spark, data).collect()} == brute(texts)
 
 
-def test_long_sets_meet(spark, tables, monkeypatch):
-    monkeypatch.setattr(N, "LONG", 12)
-    texts = _texts(3)
-    data = tables(collection_tsv=[(i, t, "f", T0) for i, t in texts.items()])
-    assert {tuple(r) for r in N.found(spark, data).collect()} == brute(texts)
+@pytest.mark.parametrize("settings", [{"rare": 2, "expected": 1}, {"rare": 0, "expected": 0}, {"long": 12}, {"long": 4, "rare": 1000}])
+@pytest.mark.parametrize("seed", [2, 3])
+def test_every_kind_of_signature(spark, tables, seed, settings):
+    """Also the rules for common words and long sets, which small data hardly reach."""
+    texts = _texts(seed)
+    members, sets = N.classes(spark.createDataFrame([(i, t, None, T0) for i, t in texts.items()], "doc_id BIGINT, doc_in STRING, feed STRING, read_at TIMESTAMP"))
+    links = cut(N.similar_sets(sets, **settings), "links")
+    named = {r.set: r.doc_id for r in members.where("doc_id = set").collect()}
+    first = {i: texts[i] for i in named.values()}
+    assert {(named[r.a], named[r.b]) for r in links.collect()} == brute(first)
 
 
 def test_dirty_rows(spark, tables, same_as_sql):
