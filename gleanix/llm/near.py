@@ -19,8 +19,8 @@ from gleanix.sources.tables import table
 #: Reference fingerprints.
 PIVOTS = 32
 #: A signature is used alone while so few sets are expected to share it.
-EXPECTED = 128
-RARE = 32
+EXPECTED = 1024
+RARE = 1024
 #: Sets of more words than this are looked up by single words.
 LONG = 160
 
