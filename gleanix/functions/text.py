@@ -36,6 +36,11 @@ CLEANING = [
 TERM_WIDTH = 20
 
 
+def once(expression: Column) -> Column:
+    """For a select: the same values, but a later filter on them doesn't make Spark work them out a second time."""
+    return F.explode(F.array(expression))
+
+
 def one_line(text: str | Column) -> Column:
     """A collection is read line by line; what would break a line is a blank here."""
     return F.regexp_replace(text, r"[\r\n\t]+", " ")
@@ -77,10 +82,12 @@ def analyse(documents: DataFrame, text: str = "text", stop: Iterable[str] | None
     ``stop=None, stemmed=False``; the stemmed one drops stop words first.
     """
     words = tokens(clean(one_line(text)))
-    if stop is not None:
-        words = without(words, stop)
     others = [c for c in documents.columns if c not in (text, "tokens")]
-    rows = documents.select(*others, words.alias("tokens")).where(F.size("tokens") > 0)
+    rows = documents.where(F.col(text).isNotNull())
+    if stop is None:
+        rows = rows.select(*others, words.alias("tokens"))  # a text has at least the blank token
+    else:
+        rows = rows.select(*others, once(without(words, stop)).alias("tokens")).where(F.size("tokens") > 0)
     if stemmed:
         rows = rows.withColumn("tokens", stems("tokens"))
     return rows.withColumn("tokens", cut_terms(F.col("tokens")))

@@ -38,7 +38,7 @@ def index(spark: SparkSession, data_dir: str, variant: str) -> I.Index:
     stop, stemmed = VARIANTS[variant]
     words = _stop(spark, data_dir) if stop else None
     tokens = cut(T.analyse(docs, "text", words, stemmed), "tokens")
-    rows = cut(I.postings(tokens).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "postings")
+    rows = cut(I.postings(tokens), "postings")
     lengths = I.document_table(tokens)
     stats = I.corpus_stats(docs, lengths).first()
     return I.Index(rows, cut(I.lexicon(rows, stats.n_docs, stats.avgdl), "lexicon"), lengths, stats.n_docs, stats.avgdl, words, stemmed)

@@ -46,6 +46,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def width(spark: SparkSession) -> int:
+    """Tasks for steps that cost much for each row."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many parts as there are cores: a small input lies in one file, which one core would read alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def purge_scratch(spark: SparkSession) -> None:
     """Delete this application's intermediate tables.  Results not yet written become unreadable."""
     path = _SCRATCH.pop(spark.sparkContext.applicationId, None)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanix.session import width
+
 COLLECTION_SCHEMA = "doc_id BIGINT, text STRING"
 QUERIES_SCHEMA = "qid INT, text STRING"
 RUN_COLUMNS = ["qid", "iter", "doc_id", "rel"]
@@ -50,9 +52,12 @@ def write_run(run: DataFrame, path: str) -> None:
 def latest_records(collection: DataFrame, *columns: str) -> DataFrame:
     """One row per doc_id: that of the latest ``read_at``; equal times keep the larger row value.
 
-    Only ``doc_id`` and the named columns are shuffled.  Rows with a null id are dropped.
+    Only ``doc_id`` and the named columns are shuffled, into a number of parts
+    that stays, because what follows is usually work on each text.  Rows with a
+    null id are dropped.
     """
-    return collection.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.struct("read_at", *columns)).alias("r")).select("doc_id", *[F.col(f"r.{c}").alias(c) for c in columns])
+    rows = collection.where("doc_id IS NOT NULL").select("doc_id", "read_at", *columns)
+    return rows.repartition(width(collection.sparkSession), "doc_id").groupBy("doc_id").agg(F.max(F.struct("read_at", *columns)).alias("r")).select("doc_id", *[F.col(f"r.{c}").alias(c) for c in columns])
 
 
 def occurrences(term_stream: DataFrame) -> DataFrame:
