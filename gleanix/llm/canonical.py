@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanix.functions.text import once
 from gleanix.llm.bloom import possibly_repeated, repeat_filter
 from gleanix.llm.texts import bag
 from gleanix.operators.skew import join_stats
-from gleanix.session import cut
+from gleanix.session import cut, spread
 from gleanix.sources.tables import latest_records, table
 
 
@@ -20,7 +21,7 @@ def forms(collection: DataFrame) -> DataFrame:
     have none.  A doc_id read several times counts once, with its latest text.
     Only ids and digests are shuffled.
     """
-    rows = collection.select("doc_id", "read_at", bag("doc_in").alias("form")).select("doc_id", "read_at", F.when(F.col("form") != "", F.unhex(F.sha2("form", 256))).alias("digest"))
+    rows = spread(collection.select("doc_id", "read_at", "doc_in")).select("doc_id", "read_at", once(bag("doc_in")).alias("form")).select("doc_id", "read_at", F.when(F.col("form") != "", F.unhex(F.sha2("form", 256))).alias("digest"))
     return latest_records(rows, "digest").where("digest IS NOT NULL").withColumn("h", F.xxhash64("digest"))
 
 

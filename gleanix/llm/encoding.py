@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanix.session import cut
-from gleanix.sources.tables import table
+from gleanix.sources.tables import latest_records, table
 
 #: The wrong encodings: UTF-8 bytes were read as one of these.
 CODECS = ["cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "cp866", "mac_roman", "koi8_r"]
@@ -232,8 +232,7 @@ def _maximise(base: Counter, post: DataFrame) -> Counter:
 
 def _records(spark: SparkSession, data_dir: str) -> DataFrame:
     """One text a doc_id: rows read twice hold the same text, and the largest (latest read) is taken."""
-    rows = table(spark, data_dir, "collection_tsv").where("doc_id IS NOT NULL AND doc_in IS NOT NULL")
-    return rows.groupBy("doc_id").agg(F.max(F.struct("read_at", "feed", "doc_in")).alias("r")).select("doc_id", "r.feed", "r.doc_in")
+    return latest_records(table(spark, data_dir, "collection_tsv").where("doc_in IS NOT NULL"), "feed", "doc_in")
 
 
 def best_chain(post: DataFrame) -> DataFrame:

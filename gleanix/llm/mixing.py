@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gleanix.llm.packing import clean_source
 from gleanix.llm.tokens import with_tokens
-from gleanix.session import cut
+from gleanix.session import cut, spread
 from gleanix.sources.tables import table
 
 #: Parts of a (source, length) group by seeded hash; only one part of a group is ever ranked.
@@ -147,7 +147,7 @@ def report(mixture: DataFrame, sized: DataFrame, targets: DataFrame, label: str)
 
 
 def _inputs(spark: SparkSession, data_dir: str) -> tuple[DataFrame, DataFrame]:
-    sized = cut(with_tokens(table(spark, data_dir, "documents").select("doc_id", clean_source().alias("src"), "text")), "sized")
+    sized = cut(with_tokens(spread(table(spark, data_dir, "documents").select("doc_id", clean_source().alias("src"), "text"))), "sized")
     return sized, table(spark, data_dir, "mix_targets")
 
 

@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanix.functions.text import once
 from gleanix.llm.components import components
 from gleanix.llm.texts import words
 from gleanix.operators.skew import join_stats
-from gleanix.session import cut
+from gleanix.session import cut, spread
 from gleanix.sources.tables import table
 
 #: Reference fingerprints.
@@ -30,7 +31,7 @@ def word_sets(collection: DataFrame) -> DataFrame:
 
     A doc_id read several times counts once (its latest text).  Null texts and texts without a word have no row.
     """
-    rows = collection.where("doc_id IS NOT NULL AND doc_in IS NOT NULL").select("doc_id", "read_at", words("doc_in").alias("w")).where(F.size("w") > 0)
+    rows = spread(collection.where("doc_id IS NOT NULL AND doc_in IS NOT NULL").select("doc_id", "read_at", "doc_in")).select("doc_id", "read_at", once(words("doc_in")).alias("w")).where(F.size("w") > 0)
     rows = rows.select("doc_id", "read_at", F.unhex(F.sha2(F.concat_ws(" ", F.array_sort("w")), 256)).alias("form"), F.array_sort(F.transform(F.array_distinct("w"), lambda x: F.xxhash64(x))).alias("words"))
     return rows.groupBy("doc_id").agg(F.max(F.struct("read_at", "form", "words")).alias("r")).select("doc_id", "r.form", "r.words")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanix.llm.tokens import with_tokens
-from gleanix.session import cut
+from gleanix.session import cut, spread
 from gleanix.sources.tables import table
 
 #: Tokens of a shard, the part of the collection that one task packs.
@@ -147,7 +147,7 @@ def pack(sized: DataFrame, limits: list[tuple[int, int]], shares: dict[str, floa
 
 
 def _inputs(spark: SparkSession, data_dir: str) -> tuple[DataFrame, list, dict]:
-    sized = cut(with_tokens(table(spark, data_dir, "documents").select("doc_id", clean_source().alias("src"), "text")), "sized")
+    sized = cut(with_tokens(spread(table(spark, data_dir, "documents").select("doc_id", clean_source().alias("src"), "text"))), "sized")
     limits = [(r.limit_no, r.capacity_tokens) for r in table(spark, data_dir, "pack_limits").collect()]  # a handful of settings
     shares = {r.source: r.target_share for r in table(spark, data_dir, "mix_targets").collect() if r.source is not None and r.target_share}
     return sized, limits, shares
