@@ -46,13 +46,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def width(spark: SparkSession) -> int:
-    """Tasks for steps that cost much for each row."""
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def width(scan: DataFrame) -> int:
+    """Tasks for a step that costs much for each row of ``scan``, a table with at most filters and projections on it."""
+    return max(scan.sparkSession.sparkContext.defaultParallelism, 2 * scan.rdd.getNumPartitions())
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in at least as many parts as there are cores: a small input lies in one file, which one core would read alone."""
+    """A scan in at least as many parts as there are cores: a small input lies in one file, which one core would read alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 

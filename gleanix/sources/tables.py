@@ -57,7 +57,7 @@ def latest_records(collection: DataFrame, *columns: str) -> DataFrame:
     null id are dropped.
     """
     rows = collection.where("doc_id IS NOT NULL").select("doc_id", "read_at", *columns)
-    return rows.repartition(width(collection.sparkSession), "doc_id").groupBy("doc_id").agg(F.max(F.struct("read_at", *columns)).alias("r")).select("doc_id", *[F.col(f"r.{c}").alias(c) for c in columns])
+    return rows.repartition(width(rows), "doc_id").groupBy("doc_id").agg(F.max(F.struct("read_at", *columns)).alias("r")).select("doc_id", *[F.col(f"r.{c}").alias(c) for c in columns])
 
 
 def occurrences(term_stream: DataFrame) -> DataFrame:
