@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanix.operators.skew import heavy_terms, term_figures
-from gleanix.session import cut
 from gleanix.sources.tables import record_terms, table
 
 
