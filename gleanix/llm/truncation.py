@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +21,8 @@ from gleanix.sources.tables import table
 SHINGLE = 5
 BANDS, ROWS = 8, 3
 THRESHOLD = 0.8
+#: Texts of a bucket that one group holds of each of its two blocks, about.
+BLOCK = 256
 
 _RANDOM = np.random.default_rng(20231)
 _MULTIPLIERS = _RANDOM.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -190,7 +192,10 @@ def align(short: str, long: str) -> bool | None:
 
     The anchor is the last five whole words before the closing one.
     """
-    a, b = short.split(), long.split()
+    return _laid(short.split(), long.split())
+
+
+def _laid(a: list[str], b: list[str]) -> bool | None:
     if len(a) <= SHINGLE:
         return None
     anchor, word = a[-1 - SHINGLE : -1], a[-1]
@@ -205,36 +210,67 @@ def align(short: str, long: str) -> bool | None:
     return None
 
 
-def _similar(short: str, long: str) -> bool:
-    hashes = _Hashes()
-    s, t = (set(shingle_hashes(np.array([hashes[w] for w in x.split()], np.uint64)).tolist()) for x in (short, long))
+def _similar(s: set[int], t: set[int]) -> bool:
     both = len(s & t)
     return both >= THRESHOLD * (len(s) + len(t) - both)
 
 
+def compare(texts: list[str], bands: list[list[int]], band: int, blocks: list[int]) -> list[bool | None]:
+    """Of each text whether it ends early along any of the others, longer or shorter; null where it aligns with none that is a near-copy.
+
+    Texts align only where the longer holds the anchor, so partners are looked
+    up by it.  A pair that shares an earlier band is left to that; two blocks
+    are only compared with each other.
+    """
+    hashes = _Hashes()
+    words = [t.split() for t in texts]
+    hashed = [np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w)) for w in words]
+    sets = [set(shingle_hashes(h).tolist()) for h in hashed]
+    anchors = [shingle_hashes(h[-1 - SHINGLE : -1]).tolist() if len(h) > SHINGLE else [] for h in hashed]
+    wanted = {h for x in anchors for h in x}
+    holders = defaultdict(list)
+    for y, s in enumerate(sets):
+        for h in s & wanted:
+            holders[h].append(y)
+    two, verdicts = len(set(blocks)) > 1, []
+    for x, keys in enumerate(anchors):
+        verdict = None
+        for y in sorted({y for h in keys for y in holders[h]}):
+            if x == y or two and blocks[x] == blocks[y] or any(p == q for p, q in zip(bands[x][:band], bands[y][:band])):
+                continue
+            early = _laid(words[x], words[y])
+            if early is not None and early is not verdict and _similar(sets[x], sets[y]):
+                verdict = early
+                if early:
+                    break
+        verdicts.append(verdict)
+    return verdicts
+
+
+def _compared(group: pd.DataFrame) -> pd.DataFrame:
+    verdicts = compare(group["text"].tolist(), group["bands"].tolist(), int(group["band"].iloc[0]), group["block"].tolist())
+    return pd.DataFrame({"id": group["id"], "cut": pd.Series(verdicts, group.index, dtype=object)}).dropna()
+
+
 def near_copies(docs: DataFrame, documents: DataFrame) -> DataFrame:
-    """(digest, cut) for texts that have a verified longer near-copy along which they align: whether they end early.
+    """(digest, cut) for texts that have a verified near-copy along which they align: whether they end early.
 
-    Equal texts are one.  Texts that share a band of min-hashes are candidates;
-    each is compared with the longest text of the band, found by aggregation, so
-    that a band that a third of all texts share costs one pair a text.  Pairs of
-    which the five-word shingles overlap by less than 0.8 are dropped.
+    Equal texts are one.  Texts that share a band of min-hashes are candidates,
+    every one with every other: a bucket is dealt to blocks of about BLOCK
+    texts, and each two blocks meet in a group of their own, so that no task
+    holds a large bucket.  Pairs of which the five-word shingles overlap by less
+    than 0.8 are dropped.
     """
-    texts = cut(docs.where("size(bands) > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands")), "texts")
-    bands = texts.select("id", "n_words", F.posexplode("bands").alias("band", "key")).select("id", "n_words", F.xxhash64("band", "key").alias("bucket"))
-    longest = bands.groupBy("bucket").agg(F.max(F.struct("n_words", "id")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    longest = cut(longest.select("bucket", F.col("m.id").alias("long"), "n"), "longest")
-    total = longest.agg(F.sum("n")).first()[0] or 0
-    pairs = cut(join_stats(bands, longest, "bucket", "n", total).where("id <> long").select("id", "long").distinct(), "pairs")
-    wanted = pairs.select("id").unionByName(pairs.select(F.col("long").alias("id"))).distinct()
-    bodies = cut(documents.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi"), "bodies")
-
-    @F.pandas_udf("boolean")
-    def early(short: pd.Series, long: pd.Series) -> pd.Series:
-        return pd.Series([align(a, b) if _similar(a, b) else None for a, b in zip(short, long)], dtype=object)
-
-    sides = pairs.join(bodies, "id").join(bodies.select(F.col("id").alias("long"), F.col("text").alias("other")), "long")
-    verified = sides.select("id", early("text", "other").alias("cut")).where("cut IS NOT NULL")
+    texts = cut(docs.where("size(bands) > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "texts")
+    members = texts.select("id", "bands", F.posexplode("bands").alias("band", "key")).select("id", "bands", "band", F.xxhash64("band", "key").alias("bucket"))
+    shared = cut(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    members = join_stats(members, shared, "bucket", "n", total).withColumn("n_blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    members = cut(members.withColumn("block", F.pmod(F.xxhash64("id", "bucket"), F.col("n_blocks")).cast("int")), "members")
+    bodies = documents.select(F.col("doc_id").alias("id"), "text").join(members.select("id").distinct(), "id", "left_semi")
+    met = members.join(bodies, "id").withColumn("other", F.explode(F.expr("sequence(0, n_blocks - 1)")))
+    met = met.select("id", "text", "bands", "band", "block", "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    verified = met.groupBy("bucket", "low", "high").applyInPandas(_compared, "id BIGINT, cut BOOLEAN")
     return verified.groupBy("id").agg(F.max("cut").alias("cut")).join(texts.select("id", "digest"), "id").select("digest", "cut")
 
 

@@ -90,6 +90,25 @@ def test_a_cut_copy_is_found_by_its_whole_copy(spark, tables):
     assert {r.doc_id for r in X.found(spark, tables(documents=rows)).collect()} == {1}
 
 
+@pytest.mark.parametrize("block", [256, 7])
+def test_a_cut_copy_is_found_among_longer_texts_of_its_bucket(spark, tables, monkeypatch, block):
+    """Many texts share most words, so that the longest of a bucket is seldom the original; one cut copy is longer than its original."""
+    monkeypatch.setattr(X, "BLOCK", block)
+    rng = random.Random(2)
+    words = [f"term{k:04}" for k in range(4000)]
+    shared, texts, cases = rng.choices(words, k=200), [], set()
+    for k in range(40):
+        whole = shared + rng.choices(words, k=rng.randrange(10, 21))
+        texts += [whole, whole[: -rng.randrange(1, 6)]]
+        cases.add(2 * k + 1)
+    whole = rng.choices(words, k=200)
+    texts += [whole, whole[:90] + rng.choices(words, k=9) + whole[90:-4]]
+    cases.add(len(texts) - 1)
+    texts += [rng.choices(words, k=30) for _ in range(60)]
+    rows = [(i, " ".join(t), None, "log", 0, None, None) for i, t in enumerate(texts)]
+    assert {r.doc_id for r in X.found(spark, tables(documents=rows)).collect()} == cases
+
+
 def test_bands_find_near_copies():
     rng = np.random.default_rng(0)
     found = 0
