@@ -69,7 +69,7 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return keys
 
 
-_SCAN = "kind STRING, key STRING, a BIGINT, b BIGINT, doc_id BIGINT, src STRING, n_chars INT, n_words INT, digest BINARY, mark STRING, start STRING, closing STRING, bands ARRAY<BIGINT>"
+_SCAN = "kind STRING, key STRING, a BIGINT, b BIGINT, doc_id BIGINT, mark STRING, start STRING, closing STRING, bands ARRAY<BIGINT>"
 
 
 def units(text: str) -> Iterator[tuple[str, str]]:
@@ -103,8 +103,8 @@ def ending(start: str, unit: str) -> tuple[str, str, str]:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, raw, ends, carried, starts, closed, dots, last = _Hashes(), Counter(), Counter(), Counter(), Counter(), Counter(), Counter(), Counter()
     for batch in batches:
-        ids, sources, texts = (batch.column(c).to_pylist() for c in ("doc_id", "src", "text"))
-        rows: list[list] = [[] for _ in range(8)]
+        ids, texts = (batch.column(c).to_pylist() for c in ("doc_id", "text"))
+        rows: list[list] = [[] for _ in range(5)]
         for text in texts:
             text = text or ""
             tokens = text.split()
@@ -129,10 +129,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))
             keys = band_keys(shingle_hashes(words)).view(np.int64) if len(words) else np.zeros(0, np.int64)
             mark, start, closing = ending(start + _LONG if unit.count(" ") >= _LONG_BLANKS else start, unit) if unit else ("void", "", "")
-            for column, v in zip(rows, (len(text), len(tokens), xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")), mark, start, closing, keys, unit if mark == "dots" else None)):
+            for column, v in zip(rows, (mark, start, closing, keys, unit if mark == "dots" else None)):
                 column.append(v)
         n = len(ids)
-        yield _batch(pa.array(["doc"] * n), pa.array(rows[7], pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(sources, pa.string()), pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary()), pa.array(rows[3]), pa.array(rows[4]), pa.array(rows[5]), pa.array(rows[6], pa.list_(pa.int64())))
+        yield _batch(pa.array(["doc"] * n), pa.array(rows[4], pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2]), pa.array(rows[3], pa.list_(pa.int64())))
     seen, final, stops, goes_on = Counter(), Counter(ends), Counter(), Counter()
     for token, n in carried.items():
         goes_on[_NUMBER.sub("9", token)] += n
@@ -159,11 +159,11 @@ def _stats(kind: str, n: Counter, k: Counter) -> pa.RecordBatch:
     keys = list(n)
     m = len(keys)
     none = lambda t: pa.nulls(m, t)
-    return _batch(pa.array([kind] * m, pa.string()), pa.array(keys, pa.string()), pa.array([n[x] for x in keys], pa.int64()), pa.array([k[x] for x in keys], pa.int64()), none(pa.int64()), none(pa.string()), none(pa.int32()), none(pa.int32()), none(pa.binary()), none(pa.string()), none(pa.string()), none(pa.string()), none(pa.list_(pa.int64())))
+    return _batch(pa.array([kind] * m, pa.string()), pa.array(keys, pa.string()), pa.array([n[x] for x in keys], pa.int64()), pa.array([k[x] for x in keys], pa.int64()), none(pa.int64()), none(pa.string()), none(pa.string()), none(pa.string()), none(pa.list_(pa.int64())))
 
 
 def scan(documents: DataFrame) -> DataFrame:
-    """(doc_id, src, text) -> a written table with one row a document and the corpus counts, all from one reading of the whole texts.
+    """(doc_id, text) of distinct texts -> a written table with one row a text and the corpus counts, all from one reading of the whole texts.
 
     Counts leave a task already summed: of each word how often it occurs and how
     often it closes a sentence or line ('word'); of each token with a full stop
@@ -172,16 +172,31 @@ def scan(documents: DataFrame) -> DataFrame:
     unit that ends with an ellipsis how often it occurs word for word ('dots');
     of each word how often it closes a text that has no closing mark ('last').
     """
-    return cut(spread(documents.select("doc_id", "src", "text")).mapInArrow(_scan, _SCAN), "scan")
+    return cut(documents.select("doc_id", "text").mapInArrow(_scan, _SCAN), "scan")
 
 
-def limits(docs: DataFrame, least: int = 5, above: float = 5.0) -> DataFrame:
+def one_each(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, src, text) -> the written ids (doc_id, src, n_chars, digest), the written classes of equal texts (digest, id, n), and (doc_id, text) of the smallest id of each.
+
+    A null text equals the empty one.  The ids left out are usually few, so that
+    they are joined without shuffling texts.
+    """
+    text = F.coalesce("text", F.lit(""))
+    ids = cut(documents.select("doc_id", "src", F.length(text).alias("n_chars"), F.unhex(F.md5(text)).alias("digest")), "ids")
+    classes = cut(ids.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "classes")
+    copied = classes.where("n > 1")
+    total = copied.agg(F.sum("n")).first()[0] or 0
+    again = cut(join_stats(ids.select("doc_id", "digest"), copied, "digest", "n", total).where("doc_id <> id").select("doc_id"), "again")
+    return ids, classes, spread(documents.select("doc_id", "text")).join(again, "doc_id", "left_anti")
+
+
+def limits(ids: DataFrame, least: int = 5, above: float = 5.0) -> DataFrame:
     """(src, n_chars) of the lengths at which a source has far more texts than at the lengths around it.
 
     Field limits are round: multiples of 50 or 32, or one less than a multiple
-    of 32.  Texts without a source may have met any source's limit.
+    of 32.  Copies of a text count once a source.  Texts without a source may have met any source's limit.
     """
-    counts = docs.groupBy("src", "n_chars").agg(F.count(F.lit(1)).alias("n"))
+    counts = ids.select("src", "n_chars", "digest").distinct().groupBy("src", "n_chars").agg(F.count(F.lit(1)).alias("n"))
     around = Window.partitionBy("src").orderBy("n_chars").rangeBetween(-8, 8)
     found = counts.withColumn("near", (F.sum("n").over(around) - F.col("n")) / 16).where((F.col("n") >= least) & (F.col("n") >= F.lit(above) * F.col("near")) & F.expr("n_chars % 50 = 0 OR n_chars % 32 IN (0, 31)"))
     return found.select("src", "n_chars").unionByName(found.select(F.lit("").alias("src"), "n_chars")).distinct().withColumn("at_limit", F.lit(True))
@@ -253,16 +268,15 @@ def _compared(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def near_copies(docs: DataFrame, documents: DataFrame) -> DataFrame:
-    """(digest, cut) for texts that have a verified near-copy along which they align: whether they end early.
+    """(doc_id, cut) for texts that have a verified near-copy along which they align: whether they end early.
 
-    Equal texts are one.  Texts that share a band of min-hashes are candidates,
+    Texts that share a band of min-hashes are candidates,
     every one with every other: a bucket is dealt to blocks of about BLOCK
     texts, and each two blocks meet in a group of their own, so that no task
     holds a large bucket.  Pairs of which the five-word shingles overlap by less
     than 0.8 are dropped.
     """
-    texts = cut(docs.where("size(bands) > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "texts")
-    members = texts.select("id", "bands", F.posexplode("bands").alias("band", "key")).select("id", "bands", "band", F.xxhash64("band", "key").alias("bucket"))
+    members = docs.where("size(bands) > 0").select(F.col("doc_id").alias("id"), "bands", F.posexplode("bands").alias("band", "key")).select("id", "bands", "band", F.xxhash64("band", "key").alias("bucket"))
     shared = cut(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     total = shared.agg(F.sum("n")).first()[0] or 0
     members = join_stats(members, shared, "bucket", "n", total).withColumn("n_blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
@@ -271,11 +285,14 @@ def near_copies(docs: DataFrame, documents: DataFrame) -> DataFrame:
     met = members.join(bodies, "id").withColumn("other", F.explode(F.expr("sequence(0, n_blocks - 1)")))
     met = met.select("id", "text", "bands", "band", "block", "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     verified = met.groupBy("bucket", "low", "high").applyInPandas(_compared, "id BIGINT, cut BOOLEAN")
-    return verified.groupBy("id").agg(F.max("cut").alias("cut")).join(texts.select("id", "digest"), "id").select("digest", "cut")
+    return verified.groupBy(F.col("id").alias("doc_id")).agg(F.max("cut").alias("cut"))
 
 
 def terminality(docs: DataFrame, stats: DataFrame) -> DataFrame:
-    """(doc_id, ..., cut) for texts without a near-copy, from how their closing words and last lines usually end.
+    """(doc_id, cut, cut_at_limit) for texts without a near-copy, from how their closing words and last lines usually end.
+
+    cut_at_limit holds where the text has a length at which its source cuts, cut
+    elsewhere.  All counts are of distinct texts.
 
     * After a full stop or closing bracket: cut where the sentence usually goes
       on after that token (an abbreviation, a reference).  After another closing mark: whole.
@@ -296,8 +313,8 @@ def terminality(docs: DataFrame, stats: DataFrame) -> DataFrame:
     sizes = starts.groupBy("shape", "long").agg(F.avg(F.col("b") / F.col("a")).alias("usual_size"))
     starts = starts.join(each, "token").join(shapes, "shape").join(sizes, ["shape", "long"])
     starts = starts.select(F.col("key").alias("start"), "long", ((F.col("b_all") + F.col("usual")) / (F.col("a_all") + 1)).alias("ends"), ((F.col("b") + F.col("usual_size")) / (F.col("a") + 1)).alias("ends_size"))
-    stop = docs.where("mark = 'stop' AND closing RLIKE '[.)]$'").join(stops, "closing", "left").withColumn("cut", F.coalesce(F.col("goes_on") > 0.5, F.lit(False)))
-    other = docs.where("mark IN ('open', 'dots')").join(words, "closing", "left").join(starts, "start", "left").join(limits(docs), ["src", "n_chars"], "left")
+    stop = docs.where("mark = 'stop' AND closing RLIKE '[.)]$'").join(stops, "closing", "left").withColumn("cut", F.coalesce(F.col("goes_on") > 0.5, F.lit(False))).withColumn("cut_at_limit", F.col("cut"))
+    other = docs.where("mark IN ('open', 'dots')").join(words, "closing", "left").join(starts, "start", "left")
     formula = stats.where("kind = 'dots' AND a > 2").select(F.col("key").alias("unit"), F.lit(True).alias("formula"))
     other = other.join(formula, "unit", "left")
     alone = stats.where("kind = 'last'").select(F.col("key").alias("closing"), F.col("a").alias("n_last")).join(words, "closing").where("n_last >= 0.5 * n_word").select("closing", "n_word")
@@ -305,10 +322,12 @@ def terminality(docs: DataFrame, stats: DataFrame) -> DataFrame:
     other = other.join(parts, "closing", "left")
     final = F.coalesce(F.col("n_final"), F.lit(0)) / (F.coalesce(F.col("n_word"), F.lit(0)) + 1)
     prose = (F.col("ends") > 0.97) | F.col("long") & (F.col("ends_size") > 0.9)
-    opened = F.coalesce(prose, F.lit(False)) | F.coalesce("at_limit", F.lit(False)) | (final < 0.01) & (F.col("n_word") > 50) | F.coalesce("part", F.lit(False))
-    other = other.withColumn("cut", F.when(F.col("mark") == "dots", F.col("formula").isNull() & (F.coalesce("at_limit", F.lit(False)) | (final < 0.7))).otherwise(F.coalesce(opened, F.lit(False))))
-    keep = ["doc_id", "src", "digest", "cut"]
-    return stop.select(*keep).unionByName(other.select(*keep)).unionByName(docs.where("mark = 'void' OR mark = 'stop' AND NOT closing RLIKE '[.)]$'").withColumn("cut", F.lit(False)).select(*keep))
+    opened = F.coalesce(prose, F.lit(False)) | (final < 0.01) & (F.col("n_word") > 50) | F.coalesce("part", F.lit(False))
+    dotted, rare = F.col("mark") == "dots", F.col("formula").isNull()
+    other = other.withColumn("cut", F.when(dotted, rare & (final < 0.7)).otherwise(F.coalesce(opened, F.lit(False)))).withColumn("cut_at_limit", F.when(dotted, rare).otherwise(F.lit(True)))
+    whole = docs.where("mark = 'void' OR mark = 'stop' AND NOT closing RLIKE '[.)]$'").withColumn("cut", F.lit(False)).withColumn("cut_at_limit", F.lit(False))
+    keep = ["doc_id", "cut", "cut_at_limit"]
+    return stop.select(*keep).unionByName(other.select(*keep)).unionByName(whole.select(*keep))
 
 
 def _shape(column: str) -> Column:
@@ -326,11 +345,16 @@ def _prefixes(stats: DataFrame) -> DataFrame:
 def judged(documents: DataFrame) -> DataFrame:
     """(doc_id, src, text) -> (doc_id, src, cut).  Null and word-free texts are not cut; null ids are dropped."""
     documents = documents.where("doc_id IS NOT NULL")
-    scanned = scan(documents)
-    docs = scanned.where("kind = 'doc'").select(F.col("key").alias("unit"), "doc_id", "src", "n_chars", "n_words", "digest", "mark", "start", "closing", "bands")
+    ids, classes, texts = one_each(documents)
+    scanned = scan(texts)
+    docs = scanned.where("kind = 'doc'").select(F.col("key").alias("unit"), "doc_id", "mark", "start", "closing", "bands")
     stats = cut(scanned.where("kind <> 'doc'").groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "stats")
     copies = cut(near_copies(docs, documents), "copies").withColumnRenamed("cut", "ends_early")
-    return terminality(docs, stats).join(copies, "digest", "left").select("doc_id", "src", F.coalesce("ends_early", "cut").alias("cut"))
+    verdicts = terminality(docs, stats).join(copies, "doc_id", "left").withColumnRenamed("doc_id", "id")
+    verdicts = cut(verdicts.join(classes, "id").select("digest", "n", "cut", "cut_at_limit", "ends_early"), "verdicts")
+    total = verdicts.agg(F.sum("n")).first()[0] or 0
+    rows = join_stats(ids, verdicts, "digest", "n", total).join(limits(ids), ["src", "n_chars"], "left")
+    return rows.select("doc_id", "src", F.coalesce("ends_early", F.when(F.col("at_limit"), F.col("cut_at_limit")).otherwise(F.col("cut"))).alias("cut"))
 
 
 def _documents(spark: SparkSession, data_dir: str) -> DataFrame:

@@ -109,6 +109,16 @@ def test_a_cut_copy_is_found_among_longer_texts_of_its_bucket(spark, tables, mon
     assert {r.doc_id for r in X.found(spark, tables(documents=rows)).collect()} == cases
 
 
+@pytest.mark.parametrize("cut", ["The orchard of the valley is kept with a shallow canal near the old...", "how to move the quiet harb"])
+def test_copies_of_a_cut_text_do_not_vouch_for_it(spark, tables, cut):
+    """A third of all rows are one cut text, its copies also more than the uses of the word in which it may be cut."""
+    rng = random.Random(4)
+    texts = [" ".join(_sentence(rng) for _ in range(3)) for _ in range(60)]
+    texts += [f"how to move the {a} {n}" for a in ADJECTIVES[:5] for n in NOUNS] + [cut] * 60
+    rows = [(i, t, None, "web" if i % 2 else "log", 0, None, None) for i, t in enumerate(texts)]
+    assert {r.doc_id for r in X.found(spark, tables(documents=rows)).collect()} == set(range(120, 180))
+
+
 def test_bands_find_near_copies():
     rng = np.random.default_rng(0)
     found = 0
