@@ -23,6 +23,8 @@ BANDS, ROWS = 8, 3
 THRESHOLD = 0.8
 #: Texts of a bucket that one group holds of each of its two blocks, about.
 BLOCK = 256
+#: Whole words before the closing one that are laid along another text, at most; one edit fewer is allowed than they have runs of five.
+TAIL = 20
 
 _RANDOM = np.random.default_rng(20231)
 _MULTIPLIERS = _RANDOM.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -205,24 +207,67 @@ def limits(ids: DataFrame, least: int = 5, above: float = 5.0) -> DataFrame:
 def align(short: str, long: str) -> bool | None:
     """Whether ``short`` ends early, inside a word or sentence, when laid along ``long``; null where they do not align at its end.
 
-    The anchor is the last five whole words before the closing one.
+    The last 5, 10, 15 or 20 whole words before the closing one are laid along
+    every place of ``long`` with 0, 1, 2 or 3 words changed, lost or added.  Of several
+    places the one with fewest edits counts, where one TAIL's length of distance
+    from the same place in ``short`` weighs as an edit.
     """
     return _laid(short.split(), long.split())
 
 
+def _tail(n: int) -> int:
+    """Words of the tail of a text of ``n`` words."""
+    return min((n - 1) // SHINGLE * SHINGLE, TAIL) if n else 0
+
+
+def _edits(tail: list[str], b: list[str]) -> Iterator[int]:
+    """For every place in ``b``, its start and end included, the least edits of ``tail`` when it ends there (Myers' bit vectors)."""
+    at: dict[str, int] = {}
+    for i, w in enumerate(tail):
+        at[w] = at.get(w, 0) | 1 << i
+    full, top, edits = (1 << len(tail)) - 1, 1 << len(tail) - 1, len(tail)
+    more, less = full, 0
+    yield edits
+    for w in b:
+        same = at.get(w, 0)
+        v, h = same | less, ((same & more) + more ^ more) | same
+        up, down = less | ~(h | more) & full, more & h
+        edits += bool(up & top) - bool(down & top)
+        up, down = up << 1 & full, down << 1 & full
+        more, less = down | ~(v | up) & full, up & v
+        yield edits
+
+
+def _one_edit(a: str, b: str) -> bool:
+    i = next((i for i, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b)))
+    return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
+
+
+def _closes(word: str, rest: list[str]) -> tuple[int, bool | None]:
+    """(edits, whether the text ends early) for a closing word where the other text goes on with ``rest``."""
+    if not rest:
+        return 1, None
+    same = rest[0] == word
+    if not same and rest[0].startswith(word):
+        return 0, True
+    if same or len(word) > 3 and word[-1] == rest[0][-1] and _one_edit(word, rest[0]):
+        return int(not same), None if len(rest) == 1 else not word.endswith(_CLOSED) or rest[1][:1].islower()
+    return 1, None
+
+
 def _laid(a: list[str], b: list[str]) -> bool | None:
-    if len(a) <= SHINGLE:
+    m = _tail(len(a))
+    if not m:
         return None
-    anchor, word = a[-1 - SHINGLE : -1], a[-1]
-    for j in range(len(b) - SHINGLE, -1, -1):
-        if b[j] == anchor[0] and b[j : j + SHINGLE] == anchor:
-            rest = b[j + SHINGLE :]
-            if not rest:
-                return None
-            if rest[0] == word:
-                return None if len(rest) == 1 else not word.endswith(_CLOSED) or rest[1][:1].islower()
-            return True if rest[0].startswith(word) else None
-    return None
+    best, early = None, None
+    for j, edits in enumerate(_edits(a[-1 - m : -1], b)):
+        if edits < m // SHINGLE:
+            more, found = _closes(a[-1], b[j : j + 2])
+            away = abs(j + 1 - len(a))
+            place = (edits + more + away // TAIL, away)
+            if best is None or place < best:
+                best, early = place, found
+    return early
 
 
 def _similar(s: set[int], t: set[int]) -> bool:
@@ -233,15 +278,15 @@ def _similar(s: set[int], t: set[int]) -> bool:
 def compare(texts: list[str], bands: list[list[int]], band: int, blocks: list[int]) -> list[bool | None]:
     """Of each text whether it ends early along any of the others, longer or shorter; null where it aligns with none that is a near-copy.
 
-    Texts align only where the longer holds the anchor, so partners are looked
-    up by it.  A pair that shares an earlier band is left to that; two blocks
+    Texts align only where the other holds one of the tail's runs of five words
+    unchanged, so partners are looked up by these.  A pair that shares an earlier band is left to that; two blocks
     are only compared with each other.
     """
     hashes = _Hashes()
     words = [t.split() for t in texts]
     hashed = [np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w)) for w in words]
     sets = [set(shingle_hashes(h).tolist()) for h in hashed]
-    anchors = [shingle_hashes(h[-1 - SHINGLE : -1]).tolist() if len(h) > SHINGLE else [] for h in hashed]
+    anchors = [shingle_hashes(h[-1 - m : -1])[::SHINGLE].tolist() if (m := _tail(len(h))) else [] for h in hashed]
     wanted = {h for x in anchors for h in x}
     holders = defaultdict(list)
     for y, s in enumerate(sets):

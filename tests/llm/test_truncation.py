@@ -80,6 +80,42 @@ def test_align(short, expected):
     assert X.align(short, long) is (expected if short != "one two three four five six seven." else False)
 
 
+WORDS = [f"w{k}" for k in range(60)]
+
+
+@pytest.mark.parametrize(
+    "short, long, expected",
+    [
+        (WORDS[:37] + ["x"] + WORDS[38:40], WORDS, True),
+        (WORDS[:37] + ["x"] + WORDS[37:40], WORDS, True),
+        (WORDS[:37] + WORDS[38:40], WORDS, True),
+        (WORDS[:39] + ["harbur"], WORDS[:39] + ["harbour"] + WORDS[40:], True),
+        (WORDS[:38] + ["x", "harb"], WORDS[:39] + ["harbour"], True),
+        (WORDS[:38] + ["x", "harbour."], WORDS[:39] + ["harbour.", "One", "more."], False),
+        (WORDS[:38] + ["x", "w39"], WORDS[:40], None),
+        (WORDS[:39] + ["x"], WORDS, None),
+        (WORDS[:40], WORDS + WORDS[34:39] + ["end."], True),
+        (WORDS[:30] + WORDS[:30], WORDS[:30] + WORDS[:27] + ["x"] + WORDS[28:30], None),
+        (WORDS[:40], WORDS + WORDS[15:40], True),
+    ],
+)
+def test_align_with_edits_and_repeats(short, long, expected):
+    assert X.align(" ".join(short), " ".join(long)) is expected
+
+
+def test_edits_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(200):
+        tail, text = rng.choices("abc", k=rng.choice([5, 10])), rng.choices("abc", k=rng.randrange(25))
+        column, expected = list(range(len(tail) + 1)), [len(tail)]
+        for w in text:
+            old, column = column, [0]
+            for i, t in enumerate(tail):
+                column.append(min(old[i] + (t != w), old[i + 1] + 1, column[i] + 1))
+            expected.append(column[-1])
+        assert list(X._edits(tail, text)) == expected
+
+
 def test_a_cut_copy_is_found_by_its_whole_copy(spark, tables):
     """The cut falls after a word that often ends a text of this kind, so only the copy can tell."""
     rng = random.Random(1)
