@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -192,15 +193,30 @@ def one_each(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return ids, classes, spread(documents.select("doc_id", "text")).join(again, "doc_id", "left_anti")
 
 
-def limits(ids: DataFrame, least: int = 5, above: float = 5.0) -> DataFrame:
-    """(src, n_chars) of the lengths at which a source has far more texts than at the lengths around it.
+def _surprise(n: Column, k: Column, share: Column) -> Column:
+    """A lower bound (Chernoff's) of minus the logarithm of the chance that ``k`` or more of ``n`` are of a kind with that share, or, where k / n lies under it, ``k`` or fewer."""
+    part = lambda x, p: F.when(x > 0, x * F.ln(x / (n * p))).otherwise(F.lit(0.0))
+    return part(k, share) + part(n - k, 1 - share)
 
-    Field limits are round: multiples of 50 or 32, or one less than a multiple
-    of 32.  Copies of a text count once a source.  Texts without a source may have met any source's limit.
+
+def limits(texts: DataFrame, chance: float = 0.01, above: float = 5.0) -> DataFrame:
+    """(src, n_chars, digest) of unclosed texts -> (src, n_chars, at_limit) of the lengths at which a source has far more of them than at the lengths around it.
+
+    The lengths around are a tenth of the length, two at least, to either side.
+    Given one text of a length, the others there must be more than chance lets
+    any of the source's lengths have, and the mean around be exceeded ``above``
+    times, as must that of the nearest eight to either side (a narrow hill of
+    lengths is no limit).  Copies of a text count once a source.  Texts without a source may have met any source's limit.
     """
-    counts = ids.select("src", "n_chars", "digest").distinct().groupBy("src", "n_chars").agg(F.count(F.lit(1)).alias("n"))
-    around = Window.partitionBy("src").orderBy("n_chars").rangeBetween(-8, 8)
-    found = counts.withColumn("near", (F.sum("n").over(around) - F.col("n")) / 16).where((F.col("n") >= least) & (F.col("n") >= F.lit(above) * F.col("near")) & F.expr("n_chars % 50 = 0 OR n_chars % 32 IN (0, 31)"))
+    source = Window.partitionBy("src")
+    counts = texts.select("src", "n_chars", "digest").distinct().groupBy("src", "n_chars").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(counts.withColumn("n_lengths", F.count(F.lit(1)).over(source)).withColumn("w", F.expr("greatest(2, n_chars div 10)")).withColumn("v", F.expr("least(8, w)")), "lengths")
+    points = F.expr("array(struct(n_chars AS at, n, 0 AS of, 0 AS far, 0 AS close), struct(n_chars + w AS at, 0L AS n, n_chars AS of, 1 AS far, 0 AS close), struct(n_chars - w - 1 AS at, 0L AS n, n_chars AS of, -1 AS far, 0 AS close), struct(n_chars + v AS at, 0L AS n, n_chars AS of, 0 AS far, 1 AS close), struct(n_chars - v - 1 AS at, 0L AS n, n_chars AS of, 0 AS far, -1 AS close))")
+    upto = counts.select("src", F.explode(points).alias("p")).select("src", "p.*").withColumn("upto", F.sum("n").over(source.orderBy("at").rangeBetween(Window.unboundedPreceding, 0)))
+    around = upto.where("far <> 0 OR close <> 0").groupBy("src", F.col("of").alias("n_chars")).agg(F.sum(F.col("far") * F.col("upto")).alias("total"), F.sum(F.col("close") * F.col("upto")).alias("near"))
+    wide, next_to = (F.expr(f"n_chars + {w} - greatest(1, n_chars - {w})").cast("double") for w in "wv")
+    many = (F.col("n") > 1) & (F.col("n") >= F.lit(above) * (F.col("total") - F.col("n")) / wide) & (F.col("n") >= F.lit(above) * (F.col("near") - F.col("n")) / next_to)
+    found = counts.join(around, ["src", "n_chars"]).where(many & (_surprise(F.col("total") - 1, F.col("n") - 1, 1 / (wide + 1)) >= F.ln(F.col("n_lengths") / F.lit(chance))))
     return found.select("src", "n_chars").unionByName(found.select(F.lit("").alias("src"), "n_chars")).distinct().withColumn("at_limit", F.lit(True))
 
 
@@ -334,7 +350,7 @@ def near_copies(docs: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def terminality(docs: DataFrame, stats: DataFrame) -> DataFrame:
-    """(doc_id, cut, cut_at_limit) for texts without a near-copy, from how their closing words and last lines usually end.
+    """(doc_id, unclosed, cut, cut_at_limit) for texts without a near-copy, from how their closing words and last lines usually end.
 
     cut_at_limit holds where the text has a length at which its source cuts, cut
     elsewhere.  All counts are of distinct texts.
@@ -347,7 +363,8 @@ def terminality(docs: DataFrame, stats: DataFrame) -> DataFrame:
     * Without a closing mark: cut if sentences and lines that begin like the
       last one (and are as long, if it is long) nearly always end with a mark.
       If they do not (list entries, queries, headings, signatures), cut only if the text has a length at which its
-      source cuts, or the closing word hardly ever closes, or it hardly
+      source cuts, or the closing word hardly ever closes (and less often
+      than words do, beyond chance), or it hardly
       occurs elsewhere and is the beginning of a commoner word.
     """
     words = stats.where("kind = 'word'").select(F.col("key").alias("closing"), F.col("a").alias("n_word"), F.col("b").alias("n_final"))
@@ -365,13 +382,15 @@ def terminality(docs: DataFrame, stats: DataFrame) -> DataFrame:
     alone = stats.where("kind = 'last'").select(F.col("key").alias("closing"), F.col("a").alias("n_last")).join(words, "closing").where("n_last >= 0.5 * n_word").select("closing", "n_word")
     parts = alone.join(_prefixes(stats), "closing").where("n_longer > n_word").select("closing").distinct().withColumn("part", F.lit(True))
     other = other.join(parts, "closing", "left")
+    closing = words.agg(F.sum("n_final") / F.sum("n_word")).first()[0] or 0.0
+    closing = min(max(closing, 1e-9), 1 - 1e-9)
     final = F.coalesce(F.col("n_final"), F.lit(0)) / (F.coalesce(F.col("n_word"), F.lit(0)) + 1)
     prose = (F.col("ends") > 0.97) | F.col("long") & (F.col("ends_size") > 0.9)
-    opened = F.coalesce(prose, F.lit(False)) | (final < 0.01) & (F.col("n_word") > 50) | F.coalesce("part", F.lit(False))
+    opened = F.coalesce(prose, F.lit(False)) | (final < 0.01) & (_surprise(F.col("n_word"), F.coalesce(F.col("n_final"), F.lit(0)), F.lit(closing)) > math.log(100)) | F.coalesce("part", F.lit(False))
     dotted, rare = F.col("mark") == "dots", F.col("formula").isNull()
     other = other.withColumn("cut", F.when(dotted, rare & (final < 0.7)).otherwise(F.coalesce(opened, F.lit(False)))).withColumn("cut_at_limit", F.when(dotted, rare).otherwise(F.lit(True)))
     whole = docs.where("mark = 'void' OR mark = 'stop' AND NOT closing RLIKE '[.)]$'").withColumn("cut", F.lit(False)).withColumn("cut_at_limit", F.lit(False))
-    keep = ["doc_id", "cut", "cut_at_limit"]
+    keep = ["doc_id", F.col("mark").isin("open", "dots").alias("unclosed"), "cut", "cut_at_limit"]
     return stop.select(*keep).unionByName(other.select(*keep)).unionByName(whole.select(*keep))
 
 
@@ -396,9 +415,10 @@ def judged(documents: DataFrame) -> DataFrame:
     stats = cut(scanned.where("kind <> 'doc'").groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "stats")
     copies = cut(near_copies(docs, documents), "copies").withColumnRenamed("cut", "ends_early")
     verdicts = terminality(docs, stats).join(copies, "doc_id", "left").withColumnRenamed("doc_id", "id")
-    verdicts = cut(verdicts.join(classes, "id").select("digest", "n", "cut", "cut_at_limit", "ends_early"), "verdicts")
+    verdicts = cut(verdicts.join(classes, "id").select("digest", "n", "unclosed", "cut", "cut_at_limit", "ends_early"), "verdicts")
     total = verdicts.agg(F.sum("n")).first()[0] or 0
-    rows = join_stats(ids, verdicts, "digest", "n", total).join(limits(ids), ["src", "n_chars"], "left")
+    rows = cut(join_stats(ids, verdicts, "digest", "n", total), "rows")
+    rows = rows.join(limits(rows.where("unclosed")), ["src", "n_chars"], "left")
     return rows.select("doc_id", "src", F.coalesce("ends_early", F.when(F.col("at_limit"), F.col("cut_at_limit")).otherwise(F.col("cut"))).alias("cut"))
 
 

@@ -131,7 +131,7 @@ def test_a_cut_copy_is_found_among_longer_texts_of_its_bucket(spark, tables, mon
     """Many texts share most words, so that the longest of a bucket is seldom the original; one cut copy is longer than its original."""
     monkeypatch.setattr(X, "BLOCK", block)
     rng = random.Random(2)
-    words = [f"term{k:04}" for k in range(4000)]
+    words = [f"t{k:04}" + "e" * (k % 7) for k in range(4000)]
     shared, texts, cases = rng.choices(words, k=200), [], set()
     for k in range(40):
         whole = shared + rng.choices(words, k=rng.randrange(10, 21))
@@ -155,6 +155,18 @@ def test_copies_of_a_cut_text_do_not_vouch_for_it(spark, tables, cut):
     assert {r.doc_id for r in X.found(spark, tables(documents=rows)).collect()} == set(range(120, 180))
 
 
+def test_limits_need_neither_round_lengths_nor_many_texts(spark):
+    rng = random.Random(5)
+    rows = [("a", rng.randrange(60, 400)) for _ in range(20)] + [("a", 140)] * 4 + [("b", 281)] * 20 + [("b", n) for n in range(200, 360)]
+    rows += [("c", 8190)] * 2 + [("c", n) for n in (5000, 6100, 9500)] + [("d", 4000)]
+    rows += [("e", 26)] * 40 + [("e", n) for n in (24, 25, 27, 28) for _ in range(30)]
+    rows += [("g", 200 + k) for k in range(-5, 6) for _ in range(6 - abs(k))]
+    df = spark.createDataFrame([(src, n, bytes([i // 256, i % 256])) for i, (src, n) in enumerate(rows)], "src STRING, n_chars INT, digest BINARY")
+    same = spark.createDataFrame([("f", 300, b"x")] * 50, df.schema)
+    expected = {("a", 140), ("b", 281), ("c", 8190)}
+    assert {(r.src, r.n_chars) for r in X.limits(df.union(same)).collect()} == expected | {("", n) for _, n in expected}
+
+
 def test_bands_find_near_copies():
     rng = np.random.default_rng(0)
     found = 0
