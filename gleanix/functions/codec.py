@@ -22,18 +22,40 @@ def gamma_size(gap: str | Column) -> Column:
     return F.ceil((2 * (F.length(F.bin(gap)) - 1) + 1) / 8).cast("bigint")
 
 
-def unary_encode(values: Iterable[int]) -> bytes:
-    """tf - 1 ones and a zero, each value filled up to whole bytes; the lowest bit of a byte comes first."""
-    values = np.asarray(list(values), np.int64)
+def _unary(values: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """(codes laid end to end, bytes of each)."""
     if (values < 1).any():
         raise ValueError("unary codes need values of at least 1")
-    width = 8 * (values // 8 + 1)
-    start = np.cumsum(width) - width
-    bits = np.zeros(int(width.sum()), np.uint8)
+    size = values // 8 + 1
     ones = values - 1
-    at = np.repeat(start, ones) + np.arange(int(ones.sum())) - np.repeat(np.cumsum(ones) - ones, ones)
-    bits[at] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
+    bits = np.zeros(8 * int(size.sum()), np.uint8)
+    bits[_spread(8 * (np.cumsum(size) - size), ones)] = 1
+    return np.packbits(bits, bitorder="little").tobytes(), size
+
+
+def _gamma(values: np.ndarray) -> tuple[bytes, np.ndarray]:
+    if (values < 1).any():
+        raise ValueError("gamma codes need values of at least 1")
+    low = np.frexp(values.astype(np.float64))[1].astype(np.int64) - 1
+    low -= np.left_shift(1, low) > values  # where the float was rounded up to a power of two
+    size = (2 * low + 8) // 8
+    start = 8 * (np.cumsum(size) - size)
+    bits = np.zeros(8 * int(size.sum()), np.uint8)
+    bits[_spread(start, low)] = 1
+    at = _spread(start + low + 1, low)
+    shift = np.repeat(low, low) - 1 - _spread(np.zeros_like(low), low)
+    bits[at] = np.repeat(values, low) >> shift & 1
+    return np.packbits(bits, bitorder="little").tobytes(), size
+
+
+def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... with n[i] numbers for each i."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
+def unary_encode(values: Iterable[int]) -> bytes:
+    """tf - 1 ones and a zero, each value filled up to whole bytes; the lowest bit of a byte comes first."""
+    return _unary(np.asarray(list(values), np.int64))[0]
 
 
 def unary_decode(data: bytes) -> list[int]:
@@ -47,14 +69,7 @@ def unary_decode(data: bytes) -> list[int]:
 
 
 def gamma_encode(values: Iterable[int]) -> bytes:
-    bits: list[int] = []
-    for g in values:
-        if g < 1:
-            raise ValueError("gamma codes need values of at least 1")
-        low = bin(g)[3:]
-        bits += [1] * len(low) + [0] + [int(c) for c in low]
-        bits += [0] * (-len(bits) % 8)
-    return np.packbits(np.array(bits, np.uint8), bitorder="little").tobytes()
+    return _gamma(np.asarray(list(values), np.int64))[0]
 
 
 def gamma_decode(data: bytes) -> list[int]:
@@ -79,7 +94,19 @@ def _over(f, kind: DataType):
     return each
 
 
-encode_tfs = _over(lambda v: unary_encode(v.tolist()), BinaryType())
+def _encoder(f):
+    @F.pandas_udf(BinaryType())
+    def each(lists: pd.Series) -> pd.Series:
+        """All lists of a batch are coded at once and cut apart: a code fills whole bytes."""
+        n = np.array([0 if v is None else len(v) for v in lists], np.int64)
+        data, size = f(np.concatenate([np.zeros(0, np.int64), *(v for v in lists if v is not None)]).astype(np.int64))
+        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n)]).astype(np.int64)].astype(np.int64)
+        return pd.Series([None if v is None else data[i:j] for v, i, j in zip(lists, ends[:-1], ends[1:])], dtype=object)
+
+    return each
+
+
+encode_tfs = _encoder(_unary)
 decode_tfs = _over(unary_decode, ArrayType(LongType()))
-encode_gaps = _over(lambda v: gamma_encode(v.tolist()), BinaryType())
+encode_gaps = _encoder(_gamma)
 decode_gaps = _over(gamma_decode, ArrayType(LongType()))

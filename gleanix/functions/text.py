@@ -11,7 +11,9 @@ from pyspark.sql.types import ArrayType, StringType
 
 from gleanix.functions.porter import stem
 
-# The patterns and replacements of the cleaning steps, in order.
+# The patterns and replacements of the cleaning steps, in order.  Control characters are spelled as
+# ranges, because the SQL engine that results are checked with has no intersection of classes; classes leave out
+# characters that an earlier step has removed.
 PREFIX = (r"^[0-9].*\t", " ")
 CLEANING = [
     (r"[^\x00-\x7F]", ""),
@@ -74,14 +76,16 @@ def stems(words: pd.Series) -> pd.Series:
     return pd.Series([None if ws is None else [stem(w) for w in ws] for ws in words], dtype=object)
 
 
-def analyse(documents: DataFrame, text: str = "text", stop: Iterable[str] | None = None, stemmed: bool = False) -> DataFrame:
+def analyse(documents: DataFrame, text: str = "text", stop: Iterable[str] | None = None, stemmed: bool = False, lines: bool = True) -> DataFrame:
     """Replaces ``text`` by ``tokens``, an array of terms in order.
 
     Null texts, and texts of which every token is a stop word, have no row.  A
     text that cleans to nothing has the one blank term.  The raw variant is
     ``stop=None, stemmed=False``; the stemmed one drops stop words first.
+    Without ``lines`` the text did not come as the second field of a line: its
+    tabs are kept, and a number at its start is dropped up to the last of them.
     """
-    words = tokens(clean(one_line(text)))
+    words = tokens(clean(one_line(text) if lines else F.col(text)))
     others = [c for c in documents.columns if c not in (text, "tokens")]
     rows = documents.where(F.col(text).isNotNull())
     if stop is None:

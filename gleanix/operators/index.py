@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanix.functions.codec import decode_gaps, decode_tfs, encode_gaps, encode_tfs, gamma_size, unary_size
-from gleanix.functions.scoring import bm25_weight, tfidf_weight
+from gleanix.functions.scoring import bm25_weight, idf, tfidf_weight
 from gleanix.functions.text import analyse
+from gleanix.session import cut
 
 #: Most entries of a stop word list.
 MOST_STOP_WORDS = 100_000
+#: Numbers of postings for which the lexicon keeps a weight that so many reach.
+LEVELS = (1, 3, 10, 30, 100)
 
 
 def stop_list(words: DataFrame) -> list[str]:
@@ -62,11 +65,35 @@ def lexicon(rows: DataFrame, n_docs: int | None = None, avgdl: float | None = No
     blocks = F.ceil(F.col("df") / block_size()).cast("int").alias("n_block")
     if n_docs is None:
         return rows.groupBy("term").agg(*counts).select("term", "cf", "df", blocks)
-    part = F.col("tf") / (F.lit(1.2) * (F.lit(0.25) + F.lit(0.75) * F.col("dl") / F.lit(avgdl).cast("double")) + F.col("tf"))
-    table = rows.groupBy("term").agg(*counts, F.max("tf").alias("tf"), F.max(part).alias("part"))
+    table = rows.groupBy("term").agg(*counts, F.max("tf").alias("tf"), F.max(_saturation(avgdl)).alias("part"))
     return table.select("term", "cf", "df", blocks, F.greatest(F.lit(0.0), tfidf_weight(n_docs, floor)).alias("ub_tfidf"), F.greatest(F.lit(0.0), F.col("part") * F.ln(F.lit(float(n_docs)) / F.col("df"))).alias("ub_bm25"))
 
 
+def _saturation(avgdl: float | None) -> Column:
+    return F.col("tf") / (F.lit(1.2) * (F.lit(0.25) + F.lit(0.75) * F.col("dl") / F.lit(avgdl).cast("double")) + F.col("tf"))
+
+
+def reached_weights(rows: DataFrame, n_docs: int, avgdl: float | None, floor: bool = True) -> DataFrame:
+    """postings -> (term, reached_tfidf, reached_bm25): weights that at least LEVELS[i] of the term's postings reach, 0 where it has fewer.
+
+    The k-th best document of a query scores at least what k postings of one of
+    its terms reach, so a threshold is known before any posting is read.
+    Postings are counted in steps of tf (whole numbers to 64, then powers of
+    two) and of 1/256 of the BM25 saturation, so a term has a few hundred
+    counts at most, made before the shuffle.
+    """
+    tf = F.when(F.col("tf") <= 64, F.col("tf")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("tf")))).cast("double")
+    part = F.floor(_saturation(avgdl) * 256) / 256
+    steps = rows.select("term", F.posexplode(F.array(tf, part)).alias("kind", "step")).groupBy("term", "kind", "step").agg(F.count(F.lit(1)).alias("n"))
+    upto = steps.withColumn("upto", F.sum("n").over(Window.partitionBy("term", "kind").orderBy(F.desc("step"))))
+    best = [F.max(F.when((F.col("kind") == kind) & (F.col("upto") >= k), F.col("step"))).alias(f"s{kind}_{k}") for kind in (0, 1) for k in LEVELS]
+    wide = upto.groupBy("term").agg(F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("df"), *best)
+    zero = lambda w: F.coalesce(F.greatest(F.lit(0.0), w), F.lit(0.0))
+    tfidf = F.array(*[zero((1 + F.ln(f"s0_{k}")) * idf(n_docs, floor)) for k in LEVELS])
+    bm25 = F.array(*[zero(F.col(f"s1_{k}") * idf(n_docs, False)) for k in LEVELS])
+    return wide.select("term", tfidf.alias("reached_tfidf"), bm25.alias("reached_bm25"))
+
+
 def weighted(rows: DataFrame, n_docs: int, avgdl: float | None, floor: bool = True) -> DataFrame:
     """postings with df -> both weights of every posting."""
     rows = rows.withColumn("avgdl", F.lit(avgdl).cast("double"))
@@ -74,7 +101,7 @@ def weighted(rows: DataFrame, n_docs: int, avgdl: float | None, floor: bool = Tr
 
 
 def with_blocks(rows: DataFrame, width: int = 1_000_000) -> DataFrame:
-    """postings -> (term, doc_id, tf, block, gap): blocks of ceil(sqrt(df)) postings and document gaps.
+    """postings -> (term, doc_id, tf, dl, block, gap): blocks of ceil(sqrt(df)) postings and document gaps.
 
     The first gap of a block is the number itself; numbers are doc_id + 1,
     because codes start at 1.  A list is put in order in parts of ``width``
@@ -83,14 +110,14 @@ def with_blocks(rows: DataFrame, width: int = 1_000_000) -> DataFrame:
     document is spread over many tasks.  ``rows`` is read twice and should be a
     written table.
     """
-    rows = rows.select("term", "doc_id", "tf").withColumn("part", F.floor(F.col("doc_id") / width))
+    rows = rows.select("term", "doc_id", "tf", "dl").withColumn("part", F.floor(F.col("doc_id") / width))
     ahead = Window.partitionBy("term").orderBy("part")
     parts = rows.groupBy("term", "part").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
     parts = parts.select("term", "part", F.sum("n").over(Window.partitionBy("term")).alias("df"), (F.sum("n").over(ahead) - F.col("n")).alias("ahead"), F.lag("last").over(ahead).alias("last"))
     inner = Window.partitionBy("term", "part").orderBy("doc_id")
     placed = rows.join(parts, ["term", "part"]).withColumn("place", F.row_number().over(inner) + F.col("ahead") - 1).withColumn("before", F.coalesce(F.lag("doc_id").over(inner), "last"))
     starts = F.col("place") % block_size() == 0
-    return placed.select("term", "doc_id", "tf", F.floor(F.col("place") / block_size()).cast("int").alias("block"), F.when(starts, F.col("doc_id") + 1).otherwise(F.col("doc_id") - F.col("before")).alias("gap"))
+    return placed.select("term", "doc_id", "tf", "dl", F.floor(F.col("place") / block_size()).cast("int").alias("block"), F.when(starts, F.col("doc_id") + 1).otherwise(F.col("doc_id") - F.col("before")).alias("gap"))
 
 
 def from_gaps(blocks: DataFrame) -> DataFrame:
@@ -100,8 +127,8 @@ def from_gaps(blocks: DataFrame) -> DataFrame:
 
 
 def skip_blocks(blocks: DataFrame) -> DataFrame:
-    """(term, block, final_doc_id, n_postings, len_doc_bytes, len_tf_bytes)."""
-    return blocks.groupBy("term", "block").agg(F.max("doc_id").alias("final_doc_id"), F.count(F.lit(1)).cast("int").alias("n_postings"), F.sum(gamma_size("gap")).alias("len_doc_bytes"), F.sum(unary_size("tf")).alias("len_tf_bytes"))
+    """(term, block, first_doc_id, final_doc_id, n_postings, len_doc_bytes, len_tf_bytes)."""
+    return blocks.groupBy("term", "block").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("final_doc_id"), F.count(F.lit(1)).cast("int").alias("n_postings"), F.sum(gamma_size("gap")).alias("len_doc_bytes"), F.sum(unary_size("tf")).alias("len_tf_bytes"))
 
 
 def file_offsets(skips: DataFrame) -> DataFrame:
@@ -151,19 +178,25 @@ class Index:
     postings: DataFrame
     lexicon: DataFrame
     documents: DataFrame
+    skips: DataFrame
+    coded: DataFrame
     n_docs: int
     avgdl: float | None
     stop: list[str] | None
     stemmed: bool
+    floor: bool
 
 
 def build_index(documents: DataFrame, path: str, stop: Iterable[str] | None = None, stemmed: bool = False, partitions: int | None = None, n_docs: int | None = None, floor: bool = True) -> Index:
     """(doc_id, text) -> an index written under ``path/variant=stem|raw``.
 
-    Postings and lexicon are range-partitioned and sorted by term, so a lookup
-    of some terms reads only the row groups that can hold them.  ``n_docs``
-    overrides the number of documents in the scores, ``floor=False`` keeps the
-    fractions of the mean length and of N / df.  Raises if a doc_id occurs twice.
+    Tables: doc_table, postings (with the block of each), lexicon (with score
+    bounds), skip_blocks, coded_blocks (the blocks' ids and frequencies as byte
+    codes) and corpus_stats.  All but the first are range-partitioned and sorted
+    by term, then document or block, so a lookup of some terms reads only the
+    row groups that can hold them.  ``n_docs`` overrides the number of documents
+    in the scores, ``floor=False`` keeps the fractions of the mean length and of
+    N / df.  Raises if a doc_id occurs twice.
     """
     spark = documents.sparkSession
     twice = documents.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).collect()
@@ -171,24 +204,28 @@ def build_index(documents: DataFrame, path: str, stop: Iterable[str] | None = No
         raise ValueError(f"doc_id must be unique and not null: {twice[0].doc_id}")
     stop = None if stop is None else sorted(set(stop))
     where = f"{path}/variant={'stem' if stemmed else 'raw'}"
-    analysed = analyse(documents, "text", stop, stemmed)
-    document_table(analysed).write.mode("overwrite").parquet(f"{where}/doc_table")
-    rows = postings(analysed)
-    rows = rows.repartitionByRange(partitions, "term", "doc_id") if partitions else rows.repartitionByRange("term", "doc_id")
-    rows.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{where}/postings")
-    stats = corpus_stats(documents, spark.read.parquet(f"{where}/doc_table"), floor)
+
+    def write(rows: DataFrame, name: str, *order: str) -> DataFrame:
+        if order:
+            rows = (rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)).sortWithinPartitions(*order)
+        rows.write.mode("overwrite").parquet(f"{where}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{where}/{name}")
+
+    tokens = cut(analyse(documents, "text", stop, stemmed), "tokens")
+    lengths = write(document_table(tokens), "doc_table")
+    rows = write(cut(with_blocks(cut(postings(tokens), "postings")), "blocks"), "postings", "term", "doc_id")
+    stats = corpus_stats(documents, lengths, floor)
     if n_docs is not None:
         stats = stats.withColumn("n_docs", F.lit(n_docs).cast("bigint"))
-    words = ",".join(stop) if stop is not None else None
-    stats.withColumn("stop", F.lit(words).cast("string")).withColumn("stemmed", F.lit(stemmed)).write.mode("overwrite").parquet(f"{where}/corpus_stats")
-    row = spark.read.parquet(f"{where}/corpus_stats").first()
-    table = lexicon(spark.read.parquet(f"{where}/postings"), row.n_docs, row.avgdl, floor)
-    table.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{where}/lexicon")
+    row = write(stats.select("*", F.lit(stop).cast("array<string>").alias("stop"), F.lit(stemmed).alias("stemmed"), F.lit(floor).alias("floor")), "corpus_stats").first()
+    write(cut(lexicon(rows, row.n_docs, row.avgdl, floor).join(reached_weights(rows, row.n_docs, row.avgdl, floor), "term"), "lexicon"), "lexicon", "term")
+    write(cut(skip_blocks(rows), "skips"), "skip_blocks", "term", "block")
+    write(cut(encode_blocks(rows), "coded"), "coded_blocks", "term", "block")
     return load_index(spark, path, stemmed)
 
 
 def load_index(spark: SparkSession, path: str, stemmed: bool = False) -> Index:
     where = f"{path}/variant={'stem' if stemmed else 'raw'}"
     row = spark.read.parquet(f"{where}/corpus_stats").first()
-    stop = None if row.stop is None else [w for w in row.stop.split(",") if w]
-    return Index(spark.read.parquet(f"{where}/postings"), spark.read.parquet(f"{where}/lexicon"), spark.read.parquet(f"{where}/doc_table"), row.n_docs, row.avgdl, stop, row.stemmed)
+    tables = [spark.read.parquet(f"{where}/{name}") for name in ("postings", "lexicon", "doc_table", "skip_blocks", "coded_blocks")]
+    return Index(*tables, row.n_docs, row.avgdl, row.stop, row.stemmed, row.floor)

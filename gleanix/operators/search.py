@@ -2,37 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanix.functions.scoring import weight
 from gleanix.functions.text import analyse
-from gleanix.operators.index import Index
+from gleanix.operators.index import LEVELS, Index
+from gleanix.operators.skew import join_stats
+from gleanix.session import cut
 
 #: Scores must be above this to be admitted.
 ADMITTED = -1.0
+#: Most (query, term) rows that are broadcast, and most distinct terms that are pushed to a scan as literals.
+BROADCAST_ROWS, PUSHED_TERMS = 200_000, 1_000
+#: Most ranges of documents that are pushed to a scan as literals.
+PUSHED_RANGES = 64
+#: Ids of a cell, in which documents and blocks meet.
+CELL = 4096
+#: Scores are rounded to six places, so bounds are compared with as much tolerance.
+EPSILON = 2e-6
+
 
+def query_terms(queries: DataFrame, index: Index, lines: bool = True) -> DataFrame:
+    """(qid, text) -> distinct (qid, term), by the analyser of the index.  Queries of stop words only have none.
+
+    Without ``lines`` a query was typed in, not read as a field of a line (see :func:`analyse`).
+    """
+    return analyse(queries.select("qid", F.coalesce("text", F.lit("")).alias("text")), "text", index.stop, index.stemmed, lines).select("qid", F.explode("tokens").alias("term")).distinct()
 
-def query_terms(queries: DataFrame, index: Index) -> DataFrame:
-    """(qid, text) -> distinct (qid, term), by the analyser of the index.  Queries of stop words only have none."""
-    return analyse(queries.select("qid", F.coalesce("text", F.lit("")).alias("text")), "text", index.stop, index.stemmed).select("qid", F.explode("tokens").alias("term")).distinct()
+
+def _source(df_source: str) -> Column:
+    if df_source not in ("df", "cf"):
+        raise ValueError("df_source must be 'df' or 'cf'")
+    return F.col(df_source).alias("df")
 
 
-def query_lexicon(queries: DataFrame, index: Index, df_source: str = "df") -> DataFrame:
+def query_lexicon(queries: DataFrame, index: Index, df_source: str = "df", *more: str) -> DataFrame:
     """(qid, term, df, n_terms): the query terms that the index has; n_terms counts those of the query.
 
     ``df_source='cf'`` weights with collection instead of document frequencies.
+    ``more`` columns of the lexicon are added.
     """
-    if df_source not in ("df", "cf"):
-        raise ValueError("df_source must be 'df' or 'cf'")
-    known = query_terms(queries, index).join(index.lexicon.select("term", F.col(df_source).alias("df")), "term")
-    counts = known.groupBy("qid").agg(F.count(F.lit(1)).alias("n_terms"))
-    return known.join(counts, "qid")
+    known = query_terms(queries, index).join(index.lexicon.select("term", _source(df_source), *more), "term")
+    return known.withColumn("n_terms", F.count(F.lit(1)).over(Window.partitionBy("qid")))
+
+
+def _weighted(rows: DataFrame, index: Index, scoring: str, floor: bool) -> DataFrame:
+    return rows.withColumn("avgdl", F.lit(index.avgdl).cast("double")).withColumn("w", weight(scoring, index.n_docs, floor))
 
 
 def _matches(terms: DataFrame, index: Index, scoring: str, floor: bool) -> DataFrame:
-    rows = index.postings.join(terms, "term").withColumn("avgdl", F.lit(index.avgdl).cast("double"))
-    return rows.withColumn("w", weight(scoring, index.n_docs, floor))
+    """The weighted postings of ``terms``, a written table (qid, term, df, ...).
+
+    The terms go to the postings, not the other way: they are broadcast while
+    they are few, and pushed to the scan while they are few enough for that.
+    More of them are joined with the terms' many postings split off.
+    """
+    size = terms.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("term").alias("terms")).first()
+    postings = index.postings.select("term", "doc_id", "tf", "dl")
+    if size.rows <= BROADCAST_ROWS:
+        if size.terms <= PUSHED_TERMS:
+            postings = postings.where(F.col("term").isin([r.term for r in terms.select("term").distinct().collect()]))
+        return _weighted(postings.join(F.broadcast(terms), "term"), index, scoring, floor)
+    others = [c for c in terms.columns if c not in ("term", "df")]
+    by_term = cut(terms.groupBy("term", "df").agg(F.collect_list(F.struct(*others)).alias("of")), "by-term")
+    total = by_term.agg(F.sum("df")).first()[0] or 0
+    return _weighted(join_stats(postings, by_term, "term", "df", total).select("term", "doc_id", "tf", "dl", "df", F.explode("of").alias("of")).select("term", "doc_id", "tf", "dl", "df", "of.*"), index, scoring, floor)
 
 
 def _top(scores: DataFrame, k: int) -> DataFrame:
@@ -40,6 +77,11 @@ def _top(scores: DataFrame, k: int) -> DataFrame:
     return scores.where(F.col("score") > ADMITTED).withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("qid", "rank", "doc_id", "score")
 
 
+def _mode(mode: str) -> None:
+    if mode not in ("or", "and"):
+        raise ValueError("mode must be 'or' or 'and'")
+
+
 def search_batch(queries: DataFrame, index: Index, mode: str = "or", scoring: str = "tfidf", k: int = 3, floor: bool = True, df_source: str = "df") -> DataFrame:
     """(qid, text) -> (qid, rank, doc_id, score): the k best documents of every query in one job.
 
@@ -48,49 +90,110 @@ def search_batch(queries: DataFrame, index: Index, mode: str = "or", scoring: st
     Scores are rounded to six places before they are ordered; ties go to the
     smaller doc_id.  Queries without a known term have no row.
     """
-    if mode not in ("or", "and"):
-        raise ValueError("mode must be 'or' or 'and'")
-    rows = _matches(query_lexicon(queries, index, df_source), index, scoring, floor)
+    _mode(mode)
+    rows = _matches(cut(query_lexicon(queries, index, df_source), "terms"), index, scoring, floor)
     scores = rows.groupBy("qid", "doc_id").agg(F.sum("w").alias("score"), F.count(F.lit(1)).alias("n"), F.first("n_terms").alias("n_terms"))
     if mode == "and":
         scores = scores.where("n = n_terms")
     return _top(scores, k)
 
 
-def search(text: str, index: Index, mode: str = "or", scoring: str = "tfidf", k: int = 3, **options) -> DataFrame:
-    """(rank, doc_id, score) of one query."""
+def search(text: str, index: Index, mode: str = "or", scoring: str = "tfidf", k: int = 3, floor: bool = True, df_source: str = "df", pruned: bool = False) -> DataFrame:
+    """(rank, doc_id, score) of one query as it was typed in; rows as in :func:`search_batch`.
+
+    The query's few terms are looked up in the lexicon and pushed to the scan of
+    the postings.  With ``pruned`` (mode 'or', df and floor of the index) the
+    terms that cannot bring a document into the result on their own are left
+    out at first (see :func:`search_pruned`); of their lists only the blocks
+    are read that can hold a document which the others have brought in.
+    """
+    _mode(mode)
     spark = index.postings.sparkSession
-    return search_batch(spark.createDataFrame([(0, text)], "qid INT, text STRING"), index, mode, scoring, k, **options).drop("qid")
+    words = [r.term for r in query_terms(spark.createDataFrame([(0, text)], "qid INT, text STRING"), index, lines=False).collect()]
+    found = index.lexicon.where(F.col("term").isin(words)).select("term", _source(df_source), F.col(f"ub_{scoring}").alias("ub"), F.col(f"reached_{scoring}").alias("reached")).collect()
+    found = sorted(found, key=lambda r: (r.ub, r.term))
+
+    def scored(rows: DataFrame) -> DataFrame:
+        df = F.coalesce(*[F.when(F.col("term") == r.term, F.lit(r.df)) for r in found], F.lit(None).cast("bigint"))
+        return _weighted(rows.select("term", "doc_id", "tf", "dl", df.alias("df")), index, scoring, floor)
+
+    def lists(terms: list[str]) -> DataFrame:
+        return index.postings.where(F.col("term").isin(terms))
+
+    terms, rest, least = [r.term for r in found], [], 0.0
+    if pruned and mode == "or" and df_source == "df" and floor == index.floor and (level := next((i for i, n in enumerate(LEVELS) if n >= k), None)) is not None:
+        least = max((r.reached[level] for r in found), default=0.0) - EPSILON
+        upto = 0.0
+        for r in found:
+            upto += r.ub
+            if upto < least:
+                rest.append(r)
+    if not rest:
+        scores = scored(lists(terms)).groupBy("doc_id").agg(F.sum("w").alias("score"), F.count(F.lit(1)).alias("n"))
+        scores = scores.where(F.col("n") == len(terms)) if mode == "and" else scores
+    else:
+        open_ = sum(r.ub for r in rest)
+        first = scored(lists(terms[len(rest) :])).groupBy("doc_id").agg(F.sum("w").alias("w"))
+        first = cut(first.where(F.col("w") + open_ >= least), "survivors")
+        more = scored(block_lists(first, index, [r.term for r in rest]).join(first.select("doc_id"), "doc_id", "left_semi"))
+        scores = first.unionByName(more.select("doc_id", "w")).groupBy("doc_id").agg(F.sum("w").alias("score"))
+    top = scores.where(F.col("score") > ADMITTED).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id").limit(k)
+    return top.select(F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("rank"), "doc_id", "score")  # k rows
+
+
+def needed_blocks(documents: DataFrame, index: Index, terms: list[str]) -> DataFrame:
+    """(term, block, first_doc_id, final_doc_id): the blocks of the terms' lists within which one of the documents lies.
+
+    Documents and blocks meet in cells of CELL ids; a block is copied into the cells that it spans.
+    """
+    blocks = index.skips.where(F.col("term").isin(terms)).select("term", "block", "first_doc_id", "final_doc_id")
+    blocks = blocks.withColumn("cell", F.explode(F.expr(f"sequence(first_doc_id div {CELL}, final_doc_id div {CELL})")))
+    met = documents.select("doc_id", F.expr(f"doc_id div {CELL}").alias("cell")).join(blocks, "cell").where("doc_id BETWEEN first_doc_id AND final_doc_id")
+    return met.select("term", "block", "first_doc_id", "final_doc_id").distinct()
+
+
+def block_lists(documents: DataFrame, index: Index, terms: list[str]) -> DataFrame:
+    """The postings of the terms in the blocks that any of ``documents`` needs: neighbouring blocks as ranges pushed to the scan while there are few, whole lists beyond that."""
+    blocks = needed_blocks(documents, index, terms)
+    run = F.col("block") - F.row_number().over(Window.partitionBy("term").orderBy("block"))
+    runs = blocks.withColumn("run", run).groupBy("term", "run").agg(F.min("first_doc_id").alias("a"), F.max("final_doc_id").alias("b")).limit(PUSHED_RANGES + 1).collect()
+    if len(runs) > PUSHED_RANGES:
+        return index.postings.where(F.col("term").isin(terms))
+    return index.postings.where(reduce(lambda x, y: x | y, [(F.col("term") == r.term) & F.col("doc_id").between(r.a, r.b) for r in runs], F.lit(False)))
 
 
-def bound_prefixes(queries: DataFrame, index: Index, scoring: str = "tfidf") -> DataFrame:
-    """(qid, term, df, n_terms, ub, upto): each query's terms by ascending bound, with the sum of the bounds up to each."""
-    bounds = index.lexicon.select("term", F.col(f"ub_{scoring}").alias("ub"))
+def bound_prefixes(queries: DataFrame, index: Index, scoring: str = "tfidf", k: int = 3) -> DataFrame:
+    """(qid, term, df, n_terms, ub, upto, least): each query's terms by ascending bound, with the sum of the bounds up to each.
+
+    ``least`` is a score that the k-th best document reaches: the highest weight
+    that k postings of one of the terms reach, null for k beyond the lexicon's levels.
+    """
     w = Window.partitionBy("qid").orderBy("ub", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return query_lexicon(queries, index).join(bounds, "term").withColumn("upto", F.sum("ub").over(w))
+    level = next((i for i, n in enumerate(LEVELS) if n >= k), len(LEVELS))
+    terms = query_lexicon(queries, index, "df", f"ub_{scoring}", f"reached_{scoring}").withColumnRenamed(f"ub_{scoring}", "ub")
+    return terms.select("qid", "term", "df", "n_terms", "ub", F.sum("ub").over(w).alias("upto"), F.max(F.get(f"reached_{scoring}", F.lit(level))).over(Window.partitionBy("qid")).alias("least"))
 
 
 def search_pruned(queries: DataFrame, index: Index, scoring: str = "bm25", k: int = 3) -> DataFrame:
-    """The same rows as :func:`search_batch` in mode 'or', scoring fewer documents.
-
-    First the documents of each query's highest-bounded term are scored by that
-    term alone; the k-th best of these scores is a threshold that the result
-    must reach.  Terms whose bounds, summed from the lowest, stay below it
-    cannot bring a document into the result on their own: their postings are
-    only looked at for documents that another term has brought in.  A query of
-    fewer than k such documents has no threshold and is scored as a whole.
+    """The same rows as :func:`search_batch` in mode 'or', scoring fewer postings.
+
+    The lexicon gives each query a threshold that its result must reach and the
+    bounds of its terms.  Terms whose bounds, summed from the lowest, stay
+    below the threshold cannot bring a document into the result on their own:
+    their postings are looked up only for documents that the other terms have
+    brought in and that can still reach the threshold.
     """
-    terms = bound_prefixes(queries, index, scoring)
-    last = Window.partitionBy("qid").orderBy(F.desc("ub"), F.desc("term"))
-    strongest = terms.withColumn("r", F.row_number().over(last)).where("r = 1").drop("r")
-    partial = Window.partitionBy("qid").orderBy(F.desc("w"), "doc_id")
-    kth = _matches(strongest, index, scoring, True).withColumn("r", F.row_number().over(partial)).where(F.col("r") == k).select("qid", F.col("w").alias("least"))
-    split = terms.join(kth, "qid", "left").withColumn("needed", F.coalesce(F.col("upto") >= F.col("least") - 2e-6, F.lit(True)))
-    first = _matches(split.where("needed"), index, scoring, True).select("qid", "doc_id", "w")
-    rest = _matches(split.where("NOT needed"), index, scoring, True).select("qid", "doc_id", "w")
-    known = first.groupBy("qid", "doc_id").agg(F.sum("w").alias("w"))
-    more = rest.join(known.select("qid", "doc_id"), ["qid", "doc_id"], "left_semi")
-    return _top(known.unionByName(more).groupBy("qid", "doc_id").agg(F.sum("w").alias("score")), k)
+    terms = bound_prefixes(queries, index, scoring, k).withColumn("needed", F.coalesce(F.col("upto") >= F.col("least") - EPSILON, F.lit(True)))
+    terms = cut(terms.withColumn("open", F.coalesce(F.sum(F.when(~F.col("needed"), F.col("ub"))).over(Window.partitionBy("qid")), F.lit(0.0))), "terms")
+    first = _matches(terms.where("needed").select("qid", "term", "df", "least", "open"), index, scoring, index.floor)
+    known = first.groupBy("qid", "doc_id").agg(F.sum("w").alias("w"), F.first("least").alias("least"), F.first("open").alias("open"))
+    known = cut(known.where(F.coalesce(F.col("w") + F.col("open") >= F.col("least") - EPSILON, F.lit(True))).select("qid", "doc_id", "w", "open"), "survivors")
+    rest = terms.where("NOT needed").select("qid", "term", "df")
+    wanted = known.where("open > 0").select("qid", "doc_id").join(rest, "qid")
+    listed = [r.term for r in rest.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+    postings = index.postings.where(F.col("term").isin(listed)) if len(listed) <= PUSHED_TERMS else index.postings
+    more = _weighted(postings.select("term", "doc_id", "tf", "dl").join(wanted, ["term", "doc_id"]), index, scoring, index.floor)
+    return _top(known.select("qid", "doc_id", "w").unionByName(more.select("qid", "doc_id", "w")).groupBy("qid", "doc_id").agg(F.sum("w").alias("score")), k)
 
 
 def batch_run(queries: DataFrame, index: Index, scoring: str = "tfidf") -> DataFrame:

@@ -6,26 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanix.operators.skew import heavy_terms, term_figures
-from gleanix.sources.tables import record_terms, table
+from gleanix.sources.tables import table
 
 
-def _pairs(spark: SparkSession, data_dir: str) -> tuple[DataFrame, int]:
+def _calls(spark: SparkSession, data_dir: str) -> tuple[DataFrame, int]:
     calls = table(spark, data_dir, "term_stream")
-    return record_terms(calls), calls.count()
+    return calls, calls.count()
 
 
 def found(spark: SparkSession, data_dir: str) -> DataFrame:
-    return heavy_terms(*_pairs(spark, data_dir)).select("term")
+    return heavy_terms(*_calls(spark, data_dir)).select("term")
 
 
 def figures(spark: SparkSession, data_dir: str) -> DataFrame:
     """(term, cf, df, max_tf) of every term; an empty stream gives no rows."""
-    return term_figures(*_pairs(spark, data_dir))
+    return term_figures(*_calls(spark, data_dir))
 
 
 def heavy(spark: SparkSession, data_dir: str) -> DataFrame:
     """The heavy terms with their figures and their share of all occurrences."""
-    return heavy_terms(*_pairs(spark, data_dir)).select("term", "cf", "df", "max_tf", F.round(F.col("cf") / F.col("total_cf"), 9).alias("share"))
+    return heavy_terms(*_calls(spark, data_dir)).select("term", "cf", "df", "max_tf", F.round(F.col("cf") / F.col("total_cf"), 9).alias("share"))
 
 
 _FIGURES = """WITH occ AS (SELECT DISTINCT add_id, rtrim(term, ' ') AS term, doc_id FROM term_stream WHERE term IS NOT NULL AND doc_id IS NOT NULL),

@@ -21,7 +21,9 @@ def tokens(text: str) -> str:
     return f"string_split_regex(rtrim(lower({clean(line)}), ' '), '\\s+')"
 
 
-DOCS = "docs AS (SELECT doc_id, arg_max(doc_in, read_at) AS text FROM collection_tsv WHERE doc_in IS NOT NULL GROUP BY doc_id)"
+#: What the latest of a record's rows has most of.
+LATEST = "(coalesce(epoch_us(read_at), -9223372036854775807), sha256(doc_in))"
+DOCS = f"docs AS (SELECT doc_id, arg_max(doc_in, {LATEST}) AS text FROM collection_tsv WHERE doc_in IS NOT NULL GROUP BY doc_id)"
 QUERIES = "qs AS (SELECT qid, coalesce(q.t, '') AS text FROM (SELECT qid, max({'l': line_no, 't': text}) AS q FROM queries_test GROUP BY qid))"
 STOP = "st AS (SELECT list(DISTINCT word) AS sw FROM stop_words)"
 

@@ -9,11 +9,13 @@ from gleanix.functions import text as T
 from gleanix.operators import index as I
 from gleanix.operators import search as S
 from gleanix.plans import oracle as O
-from gleanix.session import cut
-from gleanix.sources.tables import last_query, latest_records, table
+from gleanix.session import cut, new_path, scratch_dir
+from gleanix.sources.tables import last_query, latest_records, read_collection_tsv, read_run, table, write_collection_tsv, write_run
 
 #: The query of the single-query operators.
 QUERY = "The footnote and the canal of Glenwell, 12 lanterns: footnote!"
+#: A query as typed in, whose first field is a number and is dropped.
+TYPED = "7 old lanterns\tThe canal of Glenwell, and a footnote"
 VARIANTS = {"raw": (False, False), "stop": (True, False), "stem": (True, True)}
 
 
@@ -32,16 +34,18 @@ def analysed(spark: SparkSession, data_dir: str, variant: str) -> DataFrame:
     return T.analyse(documents(spark, data_dir), "text", _stop(spark, data_dir) if stop else None, stemmed)
 
 
+_BUILT: dict[tuple[str, str, str], str] = {}
+
+
 def index(spark: SparkSession, data_dir: str, variant: str) -> I.Index:
-    """The index of one variant, its tables written to the scratch folder."""
-    docs = cut(documents(spark, data_dir), "documents")
+    """The index of one variant, built in the scratch folder by the first query that asks for it and loaded by all."""
+    key = (scratch_dir(spark), data_dir, variant)
     stop, stemmed = VARIANTS[variant]
-    words = _stop(spark, data_dir) if stop else None
-    tokens = cut(T.analyse(docs, "text", words, stemmed), "tokens")
-    rows = cut(I.postings(tokens), "postings")
-    lengths = I.document_table(tokens)
-    stats = I.corpus_stats(docs, lengths).first()
-    return I.Index(rows, cut(I.lexicon(rows, stats.n_docs, stats.avgdl), "lexicon"), lengths, stats.n_docs, stats.avgdl, words, stemmed)
+    if key not in _BUILT:
+        path = new_path(spark, f"index-{variant}")
+        I.build_index(cut(documents(spark, data_dir), "documents"), path, _stop(spark, data_dir) if stop else None, stemmed)
+        _BUILT[key] = path
+    return I.load_index(spark, _BUILT[key], stemmed)
 
 
 def _queries(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -100,39 +104,54 @@ def score_postings(spark: SparkSession, data_dir: str) -> DataFrame:
     return rows.select("term", "doc_id", "tf", F.round("w_tfidf", 6).alias("w_tfidf"), F.round("w_bm25", 6).alias("w_bm25"))
 
 
-def _blocks(spark: SparkSession, data_dir: str) -> DataFrame:
-    return I.with_blocks(cut(I.postings(analysed(spark, data_dir, "raw")), "postings"))
-
-
 def dgaps(spark: SparkSession, data_dir: str) -> DataFrame:
-    return _blocks(spark, data_dir).select("term", "doc_id", "block", "gap")
+    return index(spark, data_dir, "raw").postings.select("term", "doc_id", "block", "gap")
 
 
 def dgap_decode(spark: SparkSession, data_dir: str) -> DataFrame:
-    return I.from_gaps(_blocks(spark, data_dir))
+    return I.from_gaps(index(spark, data_dir, "raw").postings)
+
+
+def index_lexicon(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The written lexicon."""
+    return index(spark, data_dir, "raw").lexicon.select("term", "cf", "df", "n_block")
 
 
 def skip_blocks(spark: SparkSession, data_dir: str) -> DataFrame:
-    return I.skip_blocks(_blocks(spark, data_dir))
+    """The written skip blocks."""
+    return index(spark, data_dir, "raw").skips
 
 
 def file_offsets(spark: SparkSession, data_dir: str) -> DataFrame:
-    return I.file_offsets(cut(skip_blocks(spark, data_dir), "skips")).select("term", "block", "offset_doc", "offset_tf")
+    return I.file_offsets(index(spark, data_dir, "raw").skips).select("term", "block", "offset_doc", "offset_tf")
 
 
 def index_size(spark: SparkSession, data_dir: str) -> DataFrame:
-    return I.index_size(skip_blocks(spark, data_dir))
+    return I.index_size(index(spark, data_dir, "raw").skips)
 
 
 def codec_roundtrip(spark: SparkSession, data_dir: str) -> DataFrame:
-    """All postings, coded to bytes and decoded again."""
-    return I.decode_blocks(I.encode_blocks(_blocks(spark, data_dir))).select("term", "doc_id", "tf")
+    """All postings, from the coded blocks that the index was written with."""
+    return I.decode_blocks(index(spark, data_dir, "raw").coded).select("term", "doc_id", "tf")
 
 
 def codec_bytes(spark: SparkSession, data_dir: str) -> DataFrame:
-    """The real length of each block's codes."""
-    coded = I.encode_blocks(_blocks(spark, data_dir))
-    return coded.select("term", "block", F.length("doc_codes").cast("bigint").alias("len_doc_bytes"), F.length("tf_codes").cast("bigint").alias("len_tf_bytes"))
+    """The length of each written block's codes."""
+    return index(spark, data_dir, "raw").coded.select("term", "block", F.length("doc_codes").cast("bigint").alias("len_doc_bytes"), F.length("tf_codes").cast("bigint").alias("len_tf_bytes"))
+
+
+def collection_scan(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The collection written as tab-separated lines and read again."""
+    path = new_path(spark, "collection-tsv")
+    write_collection_tsv(documents(spark, data_dir), path)
+    return read_collection_tsv(spark, path)
+
+
+def run_sink(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The run file, written and read again."""
+    path = new_path(spark, "run")
+    write_run(run_file(spark, data_dir), path)
+    return read_run(spark, path)
 
 
 def _one(spark: SparkSession) -> DataFrame:
@@ -144,9 +163,9 @@ def term_lookup(spark: SparkSession, data_dir: str) -> DataFrame:
     return S.query_terms(_one(spark), ix).join(ix.lexicon, "term").select("term", "cf", "df", "n_block")
 
 
-def _single(variant: str, mode: str, scoring: str, k: int = 3):
+def _single(variant: str, mode: str, scoring: str, k: int = 3, text: str = QUERY, **options):
     def run(spark: SparkSession, data_dir: str) -> DataFrame:
-        return S.search_batch(_one(spark), index(spark, data_dir, variant), mode, scoring, k).drop("qid")
+        return S.search(text, index(spark, data_dir, variant), mode, scoring, k, **options)
 
     return run
 
@@ -190,18 +209,21 @@ def stored_lexicon_lines(spark: SparkSession, data_dir: str) -> DataFrame:
 _BLOCKS = """b0 AS (SELECT term, doc_id, tf, row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1 AS place, ceil(sqrt(count(*) OVER (PARTITION BY term)))::BIGINT AS size FROM posts),
 b1 AS (SELECT term, doc_id, tf, (place // size)::INT AS block FROM b0),
 blocks AS (SELECT term, doc_id, tf, block, doc_id + 1 - coalesce(lag(doc_id + 1) OVER (PARTITION BY term, block ORDER BY doc_id), 0) AS gap FROM b1),
-skips AS (SELECT term, block, max(doc_id) AS final_doc_id, count(*)::INT AS n_postings, sum(ceil((2 * (length(bin(gap)) - 1) + 1) / 8.0))::BIGINT AS len_doc_bytes, sum(tf // 8 + 1)::BIGINT AS len_tf_bytes FROM blocks GROUP BY 1, 2)"""
+skips AS (SELECT term, block, min(doc_id) AS first_doc_id, max(doc_id) AS final_doc_id, count(*)::INT AS n_postings, sum(ceil((2 * (length(bin(gap)) - 1) + 1) / 8.0))::BIGINT AS len_doc_bytes, sum(tf // 8 + 1)::BIGINT AS len_tf_bytes FROM blocks GROUP BY 1, 2)"""
+_TYPED = f"qs AS (SELECT 0 AS qid, ' {TYPED.split(chr(9))[1]}' AS text)"
 _ONE = f"qs AS (SELECT 0 AS qid, {O.literal(QUERY)} AS text)"
 
 
-def _sql_one(variant: str, mode: str, weight: str, k: int = 3) -> str:
-    return O.index(variant, True).replace(O.QUERIES, _ONE) + ",\n" + O.ranked(weight, mode, k) + " SELECT rank, doc_id, score FROM top"
+def _sql_one(variant: str, mode: str, weight: str, k: int = 3, query: str = _ONE) -> str:
+    return O.index(variant, True).replace(O.QUERIES, query) + ",\n" + O.ranked(weight, mode, k) + " SELECT rank, doc_id, score FROM top"
 
 
 def _sql_batch(variant: str, mode: str, weight: str, k: int, df: str = "df") -> str:
     return O.index(variant, True) + ",\n" + O.ranked(weight, mode, k, df) + " SELECT qid, rank, doc_id, score FROM top"
 
 
+_RUN = O.index("stem", True) + ",\n" + O.ranked(O.TFIDF, "or", 1) + " SELECT qid, 0 AS iter, doc_id, 1 AS rel FROM top UNION ALL SELECT qid, 0, -1, 1 FROM qs ANTI JOIN q USING (qid)"
+
 QUERIES = {
     "clean_text": clean_text,
     "tokens_raw": _tokens("raw"),
@@ -218,6 +240,7 @@ QUERIES = {
     "score_postings": score_postings,
     "dgaps": dgaps,
     "dgap_decode": dgap_decode,
+    "index_lexicon": index_lexicon,
     "skip_blocks": skip_blocks,
     "file_offsets": file_offsets,
     "index_size": index_size,
@@ -226,6 +249,9 @@ QUERIES = {
     "term_lookup": term_lookup,
     "or_tfidf_top3": _single("raw", "or", "tfidf"),
     "or_bm25_top3": _single("raw", "or", "bm25"),
+    "pruned_or_tfidf_top3": _single("raw", "or", "tfidf", pruned=True),
+    "pruned_or_bm25_top3": _single("raw", "or", "bm25", pruned=True),
+    "typed_or_bm25_top3": _single("raw", "or", "bm25", text=TYPED),
     "and_tfidf_top3": _single("raw", "and", "tfidf"),
     "and_bm25_top3": _single("raw", "and", "bm25"),
     "batch_or_tfidf_top1": _batch("stem", "or", "tfidf", 1),
@@ -238,6 +264,8 @@ QUERIES = {
     "pruned_topk_tfidf": _pruned("tfidf"),
     "prefix_bounds": prefix_bounds,
     "run_file": run_file,
+    "run_sink": run_sink,
+    "collection_scan": collection_scan,
     "query_set": query_set,
     "merged_lexicon_lines": stored_lexicon_lines,
 }
@@ -257,6 +285,7 @@ SQL = {
     "score_postings": O.index("stem") + f" SELECT term, doc_id, tf, round({O.TFIDF}, 6) AS w_tfidf, round({O.BM25}, 6) AS w_bm25 FROM posts JOIN lex USING (term), stats",
     "dgaps": O.index("raw") + f",\n{_BLOCKS} SELECT term, doc_id, block, gap FROM blocks",
     "dgap_decode": O.index("raw") + f",\n{_BLOCKS} SELECT term, block, doc_id, doc_id AS decoded FROM blocks",
+    "index_lexicon": O.index("raw") + " SELECT term, cf, df, ceil(df / ceil(sqrt(df)))::INT AS n_block FROM lex",
     "skip_blocks": O.index("raw") + f",\n{_BLOCKS} SELECT * FROM skips",
     "file_offsets": O.index("raw") + f",\n{_BLOCKS} SELECT term, block, coalesce(sum(len_doc_bytes) OVER w, 0)::BIGINT AS offset_doc, coalesce(sum(len_tf_bytes) OVER w, 0)::BIGINT AS offset_tf FROM skips WINDOW w AS (ORDER BY term, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
     "index_size": O.index("raw") + f",\n{_BLOCKS} SELECT sum(n_postings * 8)::BIGINT AS doc_bytes_raw, sum(len_doc_bytes)::BIGINT AS doc_bytes, sum(n_postings * 4)::BIGINT AS tf_bytes_raw, sum(len_tf_bytes)::BIGINT AS tf_bytes FROM skips",
@@ -265,6 +294,9 @@ SQL = {
     "term_lookup": O.index("raw", True).replace(O.QUERIES, _ONE) + " SELECT term, cf, df, ceil(df / ceil(sqrt(df)))::INT AS n_block FROM lex SEMI JOIN qt USING (term)",
     "or_tfidf_top3": _sql_one("raw", "or", O.TFIDF),
     "or_bm25_top3": _sql_one("raw", "or", O.BM25),
+    "pruned_or_tfidf_top3": _sql_one("raw", "or", O.TFIDF),
+    "pruned_or_bm25_top3": _sql_one("raw", "or", O.BM25),
+    "typed_or_bm25_top3": _sql_one("raw", "or", O.BM25, query=_TYPED),
     "and_tfidf_top3": _sql_one("raw", "and", O.TFIDF),
     "and_bm25_top3": _sql_one("raw", "and", O.BM25),
     "batch_or_tfidf_top1": _sql_batch("stem", "or", O.TFIDF, 1),
@@ -278,7 +310,9 @@ SQL = {
     "prefix_bounds": O.index("stem", True)
     + f""", ub AS (SELECT term, greatest(0::DOUBLE, max({O.TFIDF})) AS ub FROM posts JOIN lex USING (term), stats GROUP BY term)
 SELECT qid, term, round(ub, 6) AS ub, round(sum(ub) OVER (PARTITION BY qid ORDER BY ub, term ROWS UNBOUNDED PRECEDING), 5) AS upto FROM qt JOIN ub USING (term)""",
-    "run_file": O.index("stem", True) + ",\n" + O.ranked(O.TFIDF, "or", 1) + " SELECT qid, 0 AS iter, doc_id, 1 AS rel FROM top UNION ALL SELECT qid, 0, -1, 1 FROM qs ANTI JOIN q USING (qid)",
+    "run_file": _RUN,
+    "run_sink": _RUN,
+    "collection_scan": f"WITH {O.DOCS} SELECT doc_id, regexp_replace(text, '[\\r\\n\\t]+', ' ', 'g') AS text FROM docs",
     "query_set": f"WITH {O.QUERIES} SELECT qid, text FROM qs",
     "merged_lexicon_lines": """WITH l AS (SELECT block_no, rtrim(term, ' ') AS term, max(cf) AS cf, max(df) AS df FROM lexicon_line GROUP BY 1, 2)
 SELECT term, coalesce(sum(cf), 0)::BIGINT AS cf, coalesce(sum(df), 0)::BIGINT AS df, count(*) AS blocks FROM l GROUP BY 1""",

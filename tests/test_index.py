@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,10 +58,90 @@ def test_batch_outcomes(spark, tmp_path):
     assert sorted((r.qid, r.iter, r.doc_id, r.rel) for r in S.batch_run(queries, ix).collect()) == [(1, 0, -1, 1), (3, 0, 1, 1)]
 
 
-def test_lookup_is_pushed_to_the_scan(ix, capsys):
-    ix.postings.where(F.col("term").isin("wind", "water")).select("doc_id").explain("formatted")
-    plan = capsys.readouterr().out
-    assert "PushedFilters: [In(term, [water,wind])]" in plan and "ReadSchema: struct<term:string,doc_id:bigint>" in plan
+def _plan(df, capsys):
+    df.explain("formatted")
+    return capsys.readouterr().out
+
+
+def test_lookups_are_pushed_to_the_scans(spark, ix, capsys):
+    capsys.readouterr()
+    plan = _plan(S.search("wind water", ix), capsys)
+    assert "PushedFilters: [In(term, [water,wind])]" in plan and "ReadSchema: struct<term:string,doc_id:bigint,tf:int>" in plan
+    queries = spark.createDataFrame([(1, "wind water"), (2, "wind")], "qid INT, text STRING")
+    assert "In(term, [" in _plan(S.search_batch(queries, ix), capsys)
+
+
+WORDS = [f"w{''.join(chr(97 + int(c)) for c in str(k))}" for k in range(400)]
+
+
+@pytest.fixture(scope="module", params=[True, False])
+def large(request, spark, tmp_path_factory):
+    """An index, once with whole-number division and once without, and its path; odd stop words."""
+    rng, path = random.Random(8), str(tmp_path_factory.mktemp("large"))
+    docs = [(i, " ".join(["the", "of"] + rng.choices(WORDS, [1 / (k + 1) ** 1.3 for k in range(400)], k=rng.randrange(5, 60)))) for i in range(3000)]
+    return I.build_index(spark.createDataFrame(docs, "doc_id BIGINT, text STRING"), path, stop=["a,b", "", "of"], floor=request.param), path
+
+
+def test_pruned_equals_exhaustive_on_a_larger_index(spark, large):
+    (ix, _), words, rng, floor = large, WORDS, random.Random(9), large[0].floor
+    texts = [" ".join(rng.sample(words, n) + ["the", "of"] * (n % 2)) for n in range(1, 9)]
+    queries = spark.createDataFrame(list(enumerate(texts)), "qid INT, text STRING")
+    for scoring in ("tfidf", "bm25"):
+        for k in (1, 11):
+            full = sorted(S.search_batch(queries, ix, "or", scoring, k, floor).collect())
+            assert sorted(S.search_pruned(queries, ix, scoring, k).collect()) == full
+        for i, text in enumerate(texts[:2]):
+            one = S.search(text, ix, "or", scoring, 3, floor, pruned=True).collect()
+            assert [(i, *r) for r in one] == sorted(r for r in S.search_batch(queries, ix, "or", scoring, 3, floor).collect() if r.qid == i)
+
+
+def test_pruning_reads_few_blocks(spark, large, capsys):
+    ix, words = large[0], WORDS
+    rare = [r.term for r in ix.lexicon.where("df BETWEEN 4 AND 8").collect()]
+    terms = S.bound_prefixes(spark.createDataFrame([(1, f"{words[0]} {rare[0]}")], "qid INT, text STRING"), ix, "bm25").collect()
+    assert any(r.upto < r.least for r in terms)
+    some = ix.postings.where(F.col("term") == rare[0])
+    blocks, whole = S.needed_blocks(some, ix, [words[0]]), ix.skips.where(F.col("term") == words[0]).count()
+    assert 0 < blocks.count() <= 8 < whole
+    rows = S.block_lists(some, ix, [words[0]])
+    assert rows.count() < ix.postings.where(F.col("term") == words[0]).count() / 3
+    plan = _plan(rows, capsys)
+    assert "GreaterThanOrEqual(doc_id" in plan and "LessThanOrEqual(doc_id" in plan
+
+
+def test_more_terms_than_are_broadcast(spark, large, monkeypatch):
+    ix, words, rng = large[0], WORDS, random.Random(10)
+    queries = spark.createDataFrame([(i, " ".join(rng.sample(words, 4))) for i in range(20)], "qid INT, text STRING")
+    full = sorted(S.search_batch(queries, ix, floor=ix.floor).collect())
+    monkeypatch.setattr(S, "BROADCAST_ROWS", 10)
+    assert sorted(S.search_batch(queries, ix, floor=ix.floor).collect()) == full
+    monkeypatch.setattr(S, "PUSHED_TERMS", 3)
+    monkeypatch.setattr(S, "PUSHED_RANGES", 1)
+    assert sorted(S.search_pruned(queries, ix, "tfidf").collect()) == full
+    assert S.search("the wa wb", ix, pruned=True, scoring="bm25").collect() == S.search("the wa wb", ix, scoring="bm25").collect()
+
+
+def test_written_tables(spark, large):
+    """Lexicon, skip blocks and coded blocks are sorted, and the codes give the postings again; odd stop words survive."""
+    ix, path = large
+    assert I.load_index(spark, path).stop == ["", "a,b", "of"] and ix.lexicon.where("term = 'of'").count() == 0
+    for table, key in ((ix.lexicon, ["term"]), (ix.skips, ["term", "block"]), (ix.coded, ["term", "block"])):
+        files = {}
+        for r in table.select(F.input_file_name().alias("f"), *key).collect():
+            files.setdefault(r.f, []).append(tuple(r)[1:])
+        spans = sorted((rows[0], rows[-1]) for rows in files.values())
+        assert all(rows == sorted(rows) for rows in files.values()) and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    postings = ix.postings.select("term", "block", "doc_id", "tf")
+    assert sorted(I.decode_blocks(ix.coded).collect()) == sorted(postings.collect())
+    assert {(r.term, r.block): (r.first_doc_id, r.final_doc_id) for r in ix.skips.collect()} == {(r.term, r.block): (r.a, r.b) for r in postings.groupBy("term", "block").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).collect()}
+
+
+def test_as_many_postings_reach_the_weight(spark, large):
+    ix = large[0]
+    rows = I.weighted(ix.postings.join(ix.lexicon.select("term", "df", "reached_tfidf", "reached_bm25"), "term"), ix.n_docs, ix.avgdl, ix.floor)
+    many = [F.count_if(F.col(f"w_{w}") >= F.col(f"reached_{w}")[i] - 1e-9).alias(f"{w}{i}") for w in ("tfidf", "bm25") for i in range(len(I.LEVELS))]
+    for r in rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), *many).collect():
+        assert all(r[f"{w}{i}"] >= min(k, r.df) for w in ("tfidf", "bm25") for i, k in enumerate(I.LEVELS) if r.df >= k)
 
 
 def test_duplicates_are_refused(spark, tmp_path):

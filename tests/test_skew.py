@@ -1,45 +1,64 @@
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
-from gleanix.operators.skew import heavy_terms, join_stats, term_figures, tree_aggregate
+from gleanix.operators.skew import heavy_terms, join_blocks, join_stats, term_figures, tree_aggregate
 from gleanix.plans import heavy
 from gleanix.session import cut
+from gleanix.sources.tables import record_terms
 
 
-def _pairs(spark):
-    rows = [(d, "hot", 1 + d % 5) for d in range(400)] + [(d, f"t{d % 17}", 1 + d % 3) for d in range(400)] + [(1, None, 2), (2, "", 3)]
-    return rows, spark.createDataFrame(rows, "doc_id BIGINT, term STRING, tf BIGINT")
+def _calls(spark):
+    pairs = [(d, "hot", 1 + d % 5) for d in range(400)] + [(d, f"t{d % 17}", 1 + d % 3) for d in range(400)] + [(2, "", 3)] + [(7, f"u{i}", 4) for i in range(500)]
+    rows = [(d, t) for d, t, tf in pairs for _ in range(tf)]
+    calls = [(i, t + " " * (i % 2), d) for i, (d, t) in enumerate(rows)]
+    return pairs, spark.createDataFrame(calls + calls[::3] + [(1, None, 2), (1, "x", None)], "add_id BIGINT, term STRING, doc_id BIGINT").repartition(5)
 
 
-def test_tree_equals_plain_aggregation(spark):
-    rows, df = _pairs(spark)
+@pytest.mark.parametrize("chunk, fan_in", [(1, 2), (10, 3), (100, 16), (100_000, 16)])
+def test_tree_equals_plain_aggregation(spark, chunk, fan_in):
+    """At small chunks record 7, and others, fill more than one and are split."""
+    pairs, df = _calls(spark)
     cf, n, top = Counter(), Counter(), defaultdict(int)
-    for _, t, tf in rows:
+    for _, t, tf in pairs:
         cf[t] += tf
         n[t] += 1
         top[t] = max(top[t], tf)
-    expected = sorted(((t, cf[t], n[t], top[t]) for t in cf), key=str)
-    for chunk, fan_in in ((1, 2), (10, 3), (100, 16), (10_000, 16)):
-        got = term_figures(df, len(rows), chunk, fan_in)
-        assert sorted((tuple(r) for r in got.collect()), key=str) == expected
+    got = term_figures(df, df.count(), chunk, fan_in)
+    assert sorted(tuple(r) for r in got.collect()) == sorted((t, cf[t], n[t], top[t]) for t in cf)
+    assert sorted((r.doc_id, r.term, r.tf) for r in record_terms(df, chunk).collect()) == sorted(pairs)
 
 
-def test_no_task_gets_all_partials(spark):
-    """Beyond the first round a key has at most fan_in states in a group."""
-    _, df = _pairs(spark)
-    first = tree_aggregate(df, ["term"], {"n": F.count(F.lit(1))}, {"n": F.sum("n")}, F.col("doc_id"), 64, 4)
-    assert first.where("term = 'hot'").first().n == 400
+def test_calls_are_exchanged_once_before_the_rounds(spark):
+    _, df = _calls(spark)
+    plan = term_figures(df, 20_000, 5000, 16)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Exchange RoundRobin") == 1  # the last is the test's own
+
+
+def test_tree_keeps_null_keys(spark):
+    df = spark.createDataFrame([(None, i, i) for i in range(50)] + [("a", 3, 1)], "k STRING, c BIGINT, v BIGINT")
+    got = tree_aggregate(df, ["k"], {"n": F.sum("v")}, {"n": F.sum("n")}, "c", 50, 4)
+    assert {r.k: r.n for r in got.collect()} == {None: 1225, "a": 1}
 
 
 def test_heavy_terms(spark):
-    rows, df = _pairs(spark)
-    total = sum(tf for _, _, tf in rows)
-    got = {r.term: r.cf for r in heavy_terms(df, len(rows), 0.5).collect()}
-    assert got == {"hot": sum(tf for _, t, tf in rows if t == "hot")} and got["hot"] >= total / 2
+    pairs, df = _calls(spark)
+    got = {r.term: r.cf for r in heavy_terms(df, df.count(), 0.2).collect()}
+    assert got == {"hot": sum(tf for _, t, tf in pairs if t == "hot")}
     assert heavy_terms(df.limit(0), 0).collect() == []
 
 
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_join_blocks(spark, block):
+    left = [("hot", i) for i in range(60)] + [("one", 1), ("left", 2), (None, 3)]
+    right = [("hot", i) for i in range(45)] + [("one", i) for i in range(20)] + [("right", 2), (None, 3)]
+    x, y = (cut(spark.createDataFrame(rows, f"k STRING, {c} INT"), "side") for rows, c in ((left, "v"), (right, "w")))
+    got = sorted((r.k, r.v, r.w) for r in join_blocks(x, y, "k", block).collect())
+    assert got == sorted((k, v, w) for k, v in left for m, w in right if k == m and k)
+    assert join_blocks(x.limit(0), y, "k", block).collect() == []
+
+
 def test_join_stats_with_a_hot_key(spark):
     rows = cut(spark.createDataFrame([("hot", i) for i in range(9000)] + [(f"k{i}", i) for i in range(50)] + [(None, 1)], "k STRING, v INT"), "rows")
     stats = rows.where("k IS NOT NULL").groupBy("k").agg(F.count(F.lit(1)).alias("n"))

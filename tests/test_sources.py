@@ -1,3 +1,4 @@
+import hashlib
 from datetime import datetime
 
 import pytest
@@ -29,12 +30,19 @@ def test_run_file(spark, tmp_path):
 def test_latest_records(spark):
     rows = spark.createDataFrame([(1, "old", datetime(2031, 1, 1)), (1, "new", datetime(2031, 1, 2)), (2, None, None), (None, "x", None)], "doc_id BIGINT, doc_in STRING, read_at TIMESTAMP")
     assert sorted(S.latest_records(rows, "doc_in").collect()) == [(1, "new"), (2, None)]
+    tied = spark.createDataFrame([(1, t, datetime(2031, 1, 1)) for t in "abc"], rows.schema)
+    assert S.latest_records(tied, "doc_in").first().doc_in == max("abc", key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+
+
+def test_collection_tsv_round_trip(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a\tb\r\nc"), (2, ""), (-3, "plain")], "doc_id BIGINT, text STRING")
+    S.write_collection_tsv(docs, str(tmp_path / "c"))
+    assert sorted(S.read_collection_tsv(spark, str(tmp_path / "c")).collect()) == [(-3, "plain"), (1, "a b c"), (2, "")]
 
 
 def test_occurrences_and_documents(spark):
     calls = spark.createDataFrame([(1, "a ", 1, "x"), (1, "a", 1, "y"), (2, None, 1, "x"), (3, "a", None, "x"), (4, "", 1, "x")], "add_id BIGINT, term STRING, doc_id BIGINT, tf STRING")
-    assert sorted(S.occurrences(calls).collect()) == [(1, "a", 1), (4, "", 1)]
-    assert sorted(S.record_terms(calls).collect()) == [(1, "", 1), (1, "a", 1)]
+    assert sorted(S.record_terms(calls).select("doc_id", "term", "tf").collect()) == [(1, "", 1), (1, "a", 1)]
     assert S.n_documents(spark.createDataFrame([(1, 3), (1, 3), (2, None), (None, 1)], "doc_id BIGINT, dl INT")) == 2
 
 
