@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -13,27 +15,30 @@ from pyspark.sql import functions as F
 from gleanix.functions.text import once
 from gleanix.llm.components import components
 from gleanix.llm.texts import words
-from gleanix.operators.skew import join_stats
+from gleanix.operators.skew import join_blocks, join_stats
+from gleanix.plans.oracle import LATEST
 from gleanix.session import cut, spread
 from gleanix.sources.tables import table
 
-#: Reference fingerprints.
-PIVOTS = 32
+#: Blocks into which the hashed words are dealt; the references are the unions of blocks.
+BLOCKS = 64
 #: A signature is used alone while so few sets are expected to share it.
 EXPECTED = 1024
 RARE = 1024
-#: Sets of more words than this are looked up by single words.
-LONG = 160
+#: Words of a part of a set: larger sets are cut into two, four, ... parts.
+PART = 32
+#: Rows of a key from which on it is dealt to blocks.
+HOT_KEY = 4096
 
 
 def word_sets(collection: DataFrame) -> DataFrame:
     """(doc_id, form, words) of each record: a SHA-256 of its sorted words and its distinct words as sorted 64-bit hashes.
 
-    A doc_id read several times counts once (its latest text).  Null texts and texts without a word have no row.
+    A doc_id read several times counts once, with its latest text that is not null; if that has no word, the record has no row.
     """
-    rows = spread(collection.where("doc_id IS NOT NULL AND doc_in IS NOT NULL").select("doc_id", "read_at", "doc_in")).select("doc_id", "read_at", once(words("doc_in")).alias("w")).where(F.size("w") > 0)
-    rows = rows.select("doc_id", "read_at", F.unhex(F.sha2(F.concat_ws(" ", F.array_sort("w")), 256)).alias("form"), F.array_sort(F.transform(F.array_distinct("w"), lambda x: F.xxhash64(x))).alias("words"))
-    return rows.groupBy("doc_id").agg(F.max(F.struct("read_at", "form", "words")).alias("r")).select("doc_id", "r.form", "r.words")
+    rows = spread(collection.where("doc_id IS NOT NULL AND doc_in IS NOT NULL").select("doc_id", "read_at", "doc_in")).select("doc_id", "read_at", F.unhex(F.sha2("doc_in", 256)).alias("tie"), once(words("doc_in")).alias("w"))
+    rows = rows.select("doc_id", "read_at", "tie", F.unhex(F.sha2(F.concat_ws(" ", F.array_sort("w")), 256)).alias("form"), F.array_sort(F.transform(F.array_distinct("w"), lambda x: F.xxhash64(x))).alias("words"))
+    return rows.groupBy("doc_id").agg(F.max(F.struct("read_at", "tie", "form", "words")).alias("r")).select("doc_id", "r.form", "r.words").where(F.size("words") > 0)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -42,163 +47,181 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _key(kind: int, *parts: np.ndarray) -> np.ndarray:
-    h = np.full(len(parts[0]), kind * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, np.uint64)
+def _key(kind: int, base: np.ndarray, *parts: np.ndarray) -> np.ndarray:
+    h = base + np.uint64(kind * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
     for p in parts:
         h = _mix(h + p)
     return h
 
 
-def parity(w: np.ndarray) -> tuple[int, int]:
-    """A 128-bit fingerprint, as two numbers: bit b is the parity of the words whose hash falls on b.
-
-    Every word in one set only flips one bit, so the Hamming distance of two
-    fingerprints is at most the number of words in which the sets differ.
+def pivot_table(of: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """The pivot distance tables of ``n`` sets, shape (n, 2); word ``w[i]`` is one of set ``of[i]``.
+
+    A set's fingerprint has one bit for every word there is.  The words are
+    dealt to 64 blocks by their hash, and the reference fingerprints are the
+    2**64 unions of blocks.  The Hamming distance of a set to a reference is the
+    size of the reference, plus the set's words in the other blocks, less its
+    words in the reference's; so the table of all distances is given by the
+    counts of words in each block, and the maximum coordinate difference of two
+    tables, over all references, is the sum of the differences of these counts
+    (taken by the reference that is the union of the blocks in which the one
+    set has more).  Counts are capped at two, which only makes that less, and
+    written as the bits 'has one' and 'has two' of each block: then the maximum
+    difference is the number of bits in which two tables differ.
     """
-    bit, high = np.uint64(1) << (w & np.uint64(63)), (w >> np.uint64(6)) & np.uint64(1)
-    low, upper = np.bitwise_xor.reduce(bit[high == 0], initial=np.uint64(0)), np.bitwise_xor.reduce(bit[high == 1], initial=np.uint64(0))
-    return int(low.astype(np.int64)), int(upper.astype(np.int64))
+    block = (_mix(w ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(58)).astype(np.int64)
+    counts = np.bincount(of * BLOCKS + block, minlength=n * BLOCKS).reshape(n, BLOCKS)
+    return np.stack([np.packbits(counts >= k, axis=1, bitorder="little").view(np.int64)[:, 0] for k in (1, 2)], axis=1)
 
 
-def pivot_table(w: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
-    """Distances of a set to the reference fingerprints, up to a constant of each.
+def level(size: np.ndarray, part: int) -> np.ndarray:
+    """A set of ``size`` words is cut into 2**level parts, of ``part`` words at most on average."""
+    return np.frexp(((size - 1) // part).astype(np.float64))[1].astype(np.int64)
 
-    Reference k is the set of all words with bit k in a second hash.  The
-    Hamming distance of a set to it, counted in words, is |set| + |reference| -
-    2 |both|; the size of the reference is the same for all and is left out.
-    """
-    bits = (_mix(w)[:, None] >> np.arange(pivots, dtype=np.uint64)) & np.uint64(1)
-    return (len(w) - 2 * bits.sum(0, dtype=np.int64)).astype(np.int32)
+
+@lru_cache(maxsize=256)
+def _combinations(m: int) -> tuple[np.ndarray, np.ndarray]:
+    pairs = np.array(list(combinations(range(m), 2)), np.int64).reshape(-1, 2)
+    return pairs, np.array(list(combinations(range(m), 3)), np.int64).reshape(-1, 3)
 
 
-def signatures(df: np.ndarray, w: np.ndarray, n: int, threshold: float, rare: int = RARE, expected: int = EXPECTED, long: int = LONG) -> Iterator[tuple[int, np.ndarray]]:
-    """(role, keys) of a set whose words come in order of (df, hash).
+def signatures(df: np.ndarray, w: np.ndarray, base: np.ndarray, n: int, threshold: float, rare: int = RARE, expected: int = EXPECTED) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, keys) of sets of equal size, one a row of ``w``, whose words come in order of (df, hash).
 
-    Two sets with Jaccard similarity >= threshold >= 0.6 have a common key, one
-    in role 0 (the smaller set) and one in role 1 (the larger).  Of the words
-    ordered by rarity, both sets have the first three common words within their
-    first ``size - overlap + 3``.  The key is one of those three words, if it is
-    rare; else two of them, if few sets are expected to have both; else all
-    three.  Only the frequencies decide, so both sets decide alike.
+    Two sets with Jaccard similarity >= threshold >= 0.6 have a common key.  Of
+    the words ordered by rarity, both have the first three common words within
+    their first ``size - overlap + 3``.  The key is one of those three words, if
+    it is rare; else two of them, if few sets are expected to have both; else
+    all three.  Only the frequencies decide, so both sets decide alike.  Sets
+    that can have fewer than three common words have keys of their own.
     """
-    size = len(w)
-    tiny = size < 4
-    for role, share in ((0, 2 * threshold / (1 + threshold)), (1, threshold)):
-        need = max(1, math.ceil(share * size - 1e-9))
-        if tiny and size == 2 and role == 0:
-            yield 0, _key(4, w[:1], w[1:])
-        if tiny and size == 3 and role == 1:
-            yield 1, _key(4, w[[0, 0, 1]], w[[1, 2, 2]])
-        if role == 1 and size > long or role == 0 and size >= threshold * long:
-            yield role, _key(5, w[: size - need + 1])
-        if size < 3 or size > long:
-            continue
-        first = w[: min(size, size - max(3, need) + 3)]
-        common = df[: len(first)] > rare
-        if not common.all():
-            yield role, _key(1, first[~common])
-        hot, f = first[common], df[: len(first)][common].astype(np.float64)
-        m = len(hot)
-        if m < 2:
-            continue
-        i, j = np.triu_indices(m, 1)
-        light = f[i] * f[j] <= expected * float(n)
-        if light.any():
-            yield role, _key(2, hot[i[light]], hot[j[light]])
-        # words are in order of frequency: a triple's lightest pair is its first two
-        i, j = i[~light], j[~light]
-        if len(i):
-            reps = m - 1 - j
-            third = np.concatenate([np.arange(a + 1, m) for a in j]) if reps.sum() else np.zeros(0, np.int64)
-            if len(third):
-                yield role, _key(3, np.repeat(hot[i], reps), np.repeat(hot[j], reps), hot[third])
-
-
-_KEYS = "role INT, key BIGINT, id BIGINT, size INT, low BIGINT, high BIGINT"
-
-
-def _sign(*settings):
+    rows, m = w.shape
+    every = np.arange(rows)
+    if m == 1:
+        yield every, _key(6, base, w[:, 0])
+    if m == 2:
+        yield every, _key(4, base, w[:, 0], w[:, 1])
+    if m == 3:
+        for i, j in ((0, 1), (0, 2), (1, 2)):
+            yield every, _key(4, base, w[:, i], w[:, j])
+    if m < 3:
+        return
+    p = min(m, m - max(3, math.ceil(threshold * m - 1e-9)) + 3)
+    pairs, triples = _combinations(p)
+    step = max(1, 1_000_000 // max(1, len(triples)))
+    for at in range(0, rows, step):
+        f, x, b = df[at : at + step, :p].astype(np.float64), w[at : at + step, :p], base[at : at + step]
+        common = f > rare
+        r, i = np.nonzero(~common)
+        yield at + r, _key(1, b[r], x[r, i])
+        light = f[:, pairs[:, 0]] * f[:, pairs[:, 1]] <= expected * float(n)
+        hot = common[:, pairs[:, 0]]  # the second word is as common as the first, or more
+        r, i = np.nonzero(hot & light)
+        yield at + r, _key(2, b[r], x[r, pairs[i, 0]], x[r, pairs[i, 1]])
+        heavy = common[:, triples[:, 0]] & (f[:, triples[:, 0]] * f[:, triples[:, 1]] > expected * float(n))
+        r, i = np.nonzero(heavy)
+        yield at + r, _key(3, b[r], *(x[r, triples[i, k]] for k in range(3)))
+
+
+_KEYS = "key BIGINT, id BIGINT, own BOOLEAN, size INT, part INT, one BIGINT, two BIGINT"
+
+
+def _sign(n: int, threshold: float, rare: int, expected: int, part: int):
+    def of_sets(ids: np.ndarray, at: np.ndarray, w: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+        size = np.diff(at)
+        own, least = level(size, part), level(np.ceil(threshold * size - 1e-9).astype(np.int64), part)
+        for mine, levels in ((True, own), (False, np.where(least < own, least, -1))):
+            of = np.repeat(np.arange(len(ids)), size)
+            some = levels[of] >= 0
+            of, x, g = of[some], w[some], f[some]
+            if not len(of):
+                continue
+            deep = levels[of].astype(np.uint64)
+            group = _mix(x + deep) & ((np.uint64(1) << deep) - np.uint64(1))
+            order = np.lexsort((group, of))  # keeps the order of words within a part
+            of, x, g, group, deep = of[order], x[order], g[order], group[order], deep[order]
+            starts = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (group[1:] != group[:-1])]))
+            m = np.diff(np.concatenate([starts, [len(of)]]))
+            tables = pivot_table(np.repeat(np.arange(len(m)), m), x, len(m))
+            base = _mix(_mix(deep[starts] + np.uint64(1)) + group[starts])
+            for k in np.unique(m):
+                which = np.flatnonzero(m == k)
+                cells = starts[which, None] + np.arange(k)
+                for rows, keys in signatures(g[cells], x[cells], base[which], n, threshold, rare, expected):
+                    if len(rows):
+                        p = which[rows]
+                        doc = of[starts[p]]
+                        columns = [keys.view(np.int64), ids[doc], np.full(len(p), mine), size[doc].astype(np.int32), m[p].astype(np.int32), tables[p, 0], tables[p, 1]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in _KEYS.split(", ")])
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("id").to_numpy(zero_copy_only=False)
-            w_col, f_col = b.column("w"), b.column("f")
-            at = w_col.offsets.to_numpy()
-            w_all = w_col.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            f_all = f_col.values.to_numpy(zero_copy_only=False)
-            f_at = f_col.offsets.to_numpy()
-            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
-            held = 0
-
-            def flush():
-                arrays = [np.concatenate(x) for x in out]
-                for x in out:
-                    x.clear()
-                return pa.RecordBatch.from_arrays([pa.array(arrays[0], pa.int32()), pa.array(arrays[1].view(np.int64)), pa.array(arrays[2]), pa.array(arrays[3], pa.int32()), pa.array(arrays[4]), pa.array(arrays[5])], names=["role", "key", "id", "size", "low", "high"])
-
+            at = b.column("w").offsets.to_numpy()
+            w = b.column("w").values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            f = b.column("f").values.to_numpy(zero_copy_only=False)
+            shift = b.column("f").offsets.to_numpy()[0] - at[0] if len(ids) else 0
+            first = 0
             with np.errstate(over="ignore"):
-                for k, doc in enumerate(ids):
-                    w = w_all[at[k] : at[k + 1]]
-                    f = f_all[f_at[k] : f_at[k + 1]]
-                    low, high = parity(w)
-                    for role, keys in signatures(f, w, *settings):
-                        keys = np.unique(keys)
-                        m = len(keys)
-                        held += m
-                        for x, v in zip(out, (np.full(m, role, np.int32), keys, np.full(m, doc, np.int64), np.full(m, len(w), np.int32), np.full(m, low, np.int64), np.full(m, high, np.int64))):
-                            x.append(v)
-                    if held > 200_000:
-                        yield flush()
-                        held = 0
-            if held:
-                yield flush()
+                while first < len(ids):  # about 200,000 words at a time
+                    last = max(first + 1, int(np.searchsorted(at, at[first] + 200_000, "right")) - 1)
+                    yield from of_sets(ids[first:last], at[first : last + 1] - at[first], w[at[first] : at[last]], f[at[first] + shift : at[last] + shift])
+                    first = last
 
     return sign
 
 
-def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        col = b.column("words")
-        at, values = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        with np.errstate(over="ignore"):
-            pivots = [pivot_table(values[i:j]) for i, j in zip(at[:-1], at[1:])]
-        yield pa.RecordBatch.from_arrays([b.column("id"), col, pa.array(pivots, pa.list_(pa.int32()))], names=["id", "words", "pivots"])
+def candidates(sets: DataFrame, threshold: float = 0.6, rare: int = RARE, expected: int = EXPECTED, part: int = PART) -> DataFrame:
+    """(a, b, near): the pairs of sets that meet, once for every common key, and whether their pivot tables are near enough.
+
+    Sets of more than ``part`` words are cut, by a hash of the word, into parts
+    of half that at least: the similarity of two sets is a mean of those of their
+    parts, so one pair of parts reaches the threshold too, and parts meet in
+    the place of sets.  Both sets must be cut alike, so a set also comes as it
+    would be cut if it were as small as the smallest that can be similar to it.
+    Every part has a pivot distance table of its own.
+    """
+    n = sets.count()
+    each = sets.select("id", F.explode("words").alias("w"))
+    lexicon = cut(each.groupBy("w").agg(F.count(F.lit(1)).alias("f")), "words")
+    total = lexicon.agg(F.sum("f")).first()[0] or 0
+    ranked = join_stats(each, lexicon, "w", "f", total).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("r"))
+    keys = cut(ranked.select("id", F.col("r.w").alias("w"), F.col("r.f").alias("f")).mapInArrow(_sign(n, threshold, rare, expected, part), _KEYS), "keys")
+    hot = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_KEY).select("key"), "hot")
+    x = keys.where("own").select("key", F.col("id").alias("a"), F.col("size").alias("s"), F.col("part").alias("p"), F.col("one").alias("o1"), F.col("two").alias("t1"))
+    y = keys.select("key", F.col("id").alias("b"), F.col("size").alias("t"), F.col("part").alias("q"), F.col("one").alias("o2"), F.col("two").alias("t2"))
+    if hot.isEmpty():
+        met = x.hint("merge").join(y, "key")
+    else:
+        cold = x.join(hot, "key", "left_anti").hint("merge").join(y, "key")
+        met = cold.unionByName(join_blocks(cut(x.join(hot, "key", "left_semi"), "hot-x"), cut(y.join(hot, "key", "left_semi"), "hot-y"), "key", HOT_KEY))
+    smaller, larger = F.least("p", "q"), F.greatest("p", "q")
+    met = met.where("s < t OR s = t AND a < b").where(F.col("s") >= F.lit(threshold) * F.col("t") - 1e-9).where(smaller >= F.lit(threshold) * larger - 1e-9)
+    apart = F.bit_count(F.col("o1").bitwiseXOR(F.col("o2"))) + F.bit_count(F.col("t1").bitwiseXOR(F.col("t2")))
+    slack = (1 - threshold) / (1 + threshold)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (apart <= F.lit(slack) * (F.col("p") + F.col("q")) + 1e-9).alias("near"))
 
 
-def similar_sets(sets: DataFrame, threshold: float = 0.6, rare: int = RARE, expected: int = EXPECTED, long: int = LONG) -> DataFrame:
+def similar_sets(sets: DataFrame, threshold: float = 0.6, **settings) -> DataFrame:
     """(id, words) -> (a, b): the pairs of sets with Jaccard similarity >= threshold, a < b.
 
     ``sets`` is a written table of distinct sets of at least one word.  Pairs
     that cannot reach the threshold never meet (:func:`signatures`) or are
-    discarded by the distance of their fingerprints while they meet; then those
-    with too large a difference in one coordinate of the pivot distance table;
-    the survivors are verified word by word.  ``rare``, ``expected`` and
-    ``long`` only decide how many signatures and candidates there are.  None of these loses a pair: sets
-    of s and t words that reach the threshold differ in at most
-    (1 - threshold) / (1 + threshold) * (s + t) words.
+    discarded by the maximum coordinate difference of their pivot distance
+    tables while they meet (:func:`pivot_table`); the survivors are verified
+    word by word.  The settings of :func:`candidates` only decide how many
+    signatures and candidates there are.  None of this loses a pair: sets of s
+    and t words that reach the threshold differ in at most (1 - threshold) /
+    (1 + threshold) * (s + t) words, and no coordinate of two tables differs by
+    more than the sets do.
     """
     if threshold < 0.6:
         raise ValueError("signatures need a threshold of at least 0.6")
-    n = sets.count()
-    each = sets.select("id", F.explode("words").alias("w"))
-    lexicon = cut(each.groupBy("w").agg(F.count(F.lit(1)).alias("f")), "words")
-    total = lexicon.agg(F.sum("f")).first()[0] or 0
-    ranked = join_stats(each, lexicon, "w", "f", total).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("r"))
-    keys = cut(ranked.select("id", F.col("r.w").alias("w"), F.col("r.f").alias("f")).mapInArrow(_sign(n, threshold, rare, expected, long), _KEYS), "keys")
-    slack = (1 - threshold) / (1 + threshold)
-    x = keys.where("role = 0").select("key", F.col("id").alias("a"), F.col("size").alias("s"), F.col("low").alias("l1"), F.col("high").alias("h1"))
-    y = keys.where("role = 1").select("key", F.col("id").alias("b"), F.col("size").alias("t"), F.col("low").alias("l2"), F.col("high").alias("h2"))
-    far = F.col("s") + F.col("t")
-    prints = F.bit_count(F.col("l1").bitwiseXOR(F.col("l2"))) + F.bit_count(F.col("h1").bitwiseXOR(F.col("h2")))
-    met = x.hint("merge").join(y, "key").where("s < t OR s = t AND a < b").where(F.col("s") >= F.lit(threshold) * F.col("t") - 1e-9).where(prints <= F.lit(slack) * far + 1e-9)
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tables = cut(sets.select("id", "words").mapInArrow(_tables, "id BIGINT, words ARRAY<BIGINT>, pivots ARRAY<INT>"), "pivots")
-    side = lambda c, i: tables.select(F.col("id").alias(c), F.col("words").alias(f"w{i}"), F.col("pivots").alias(f"v{i}"))
+    pairs = candidates(sets, threshold, **settings).where("near").select("a", "b").distinct()
+    side = lambda c, i: sets.select(F.col("id").alias(c), F.col("words").alias(f"w{i}"))
     both = pairs.join(side("a", 1), "a").join(side("b", 2), "b")
-    sizes = F.size("w1") + F.size("w2")
-    apart = F.array_max(F.zip_with("v1", "v2", lambda i, j: F.abs(i - j)))
-    kept = both.where(apart <= F.lit(slack) * sizes + 1e-9)
-    shared = F.size(F.array_intersect("w1", "w2"))
-    return kept.where(shared / (sizes - shared) >= threshold).select("a", "b")
+    sizes, shared = F.size("w1") + F.size("w2"), F.size(F.array_intersect("w1", "w2"))
+    return both.where(shared / (sizes - shared) >= threshold).select("a", "b")
 
 
 def classes(collection: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -219,10 +242,10 @@ def classes(collection: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def bag_links(members: DataFrame, links: DataFrame) -> DataFrame:
     """(x, y): linked bags of different words, x < y, from linked sets and from bags with the same set."""
-    bags = members.select("bag", "set").distinct()
+    bags = cut(members.select("bag", "set").distinct(), "bag-sets")
     left, right = bags.select(F.col("set").alias("a"), F.col("bag").alias("x")), bags.select(F.col("set").alias("b"), F.col("bag").alias("y"))
-    across = links.join(left, "a").join(right, "b").select("x", "y")
-    within = left.join(right, F.col("a") == F.col("b")).where("x < y").select("x", "y")
+    across = join_blocks(cut(join_blocks(links, left, "a"), "half"), right, "b").select("x", "y")
+    within = join_blocks(left, right.withColumnRenamed("b", "a"), "a").where("x < y").select("x", "y")
     return across.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).unionByName(within)
 
 
@@ -233,9 +256,10 @@ def _found(spark: SparkSession, data_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def found(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Every linked pair of records, copies of one text included; records are joined in blocks, so many copies are not one task's."""
     members, links = _found(spark, data_dir)
     x, y = members.select(F.col("bag").alias("x"), F.col("doc_id").alias("i")), members.select(F.col("bag").alias("y"), F.col("doc_id").alias("j"))
-    return links.join(x, "x").join(y, "y").select(F.least("i", "j").alias("doc_id_a"), F.greatest("i", "j").alias("doc_id_b"))
+    return join_blocks(cut(join_blocks(links, x, "x"), "half"), y, "y").select(F.least("i", "j").alias("doc_id_a"), F.greatest("i", "j").alias("doc_id_b"))
 
 
 def groups(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -250,12 +274,17 @@ def groups(spark: SparkSession, data_dir: str) -> DataFrame:
     return join_stats(members, per_bag, "bag", "copies", total).select("doc_id", "group_id", "n_links")
 
 
-_SETS = """WITH r AS (SELECT doc_id, arg_max(doc_in, read_at) AS doc_in FROM collection_tsv WHERE doc_in IS NOT NULL GROUP BY doc_id),
-w AS (SELECT doc_id, list_sort(regexp_extract_all(lower(doc_in), '[\\p{L}\\p{N}]+')) AS ws FROM r),
-f AS (SELECT doc_id, array_to_string(ws, ' ') AS form, list_sort(list_distinct(ws)) AS s, len(list_distinct(ws)) AS n FROM w WHERE len(ws) > 0)"""
+_SETS = f"""WITH RECURSIVE r AS (SELECT doc_id, arg_max(doc_in, {LATEST}) AS doc_in FROM collection_tsv WHERE doc_in IS NOT NULL GROUP BY doc_id),
+w AS (SELECT doc_id, list_sort(regexp_extract_all(lower(doc_in), '[\\p{{L}}\\p{{N}}]+')) AS ws FROM r),
+f AS (SELECT doc_id, array_to_string(ws, ' ') AS form, list_sort(list_distinct(ws)) AS s, len(list_distinct(ws)) AS n FROM w WHERE len(ws) > 0),
+e AS (SELECT doc_id, n, unnest(s) AS t FROM f), o AS (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS n, any_value(y.n) AS m, count(*) AS c FROM e x JOIN e y ON x.t = y.t AND x.doc_id < y.doc_id GROUP BY 1, 2),
+near AS (SELECT o.a, o.b, x.form <> y.form AS other FROM o JOIN f x ON x.doc_id = o.a JOIN f y ON y.doc_id = o.b WHERE c / (o.n + o.m - c)::DOUBLE >= 0.6::DOUBLE)"""
 
 QUERIES = {"p3_found": found, "p3_groups": groups}
 SQL = {
-    "p3_found": f"""{_SETS}, e AS (SELECT doc_id, n, unnest(s) AS t FROM f), o AS (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS n, any_value(y.n) AS m, count(*) AS c FROM e x JOIN e y ON x.t = y.t AND x.doc_id < y.doc_id GROUP BY 1, 2)
-SELECT o.a AS doc_id_a, o.b AS doc_id_b FROM o JOIN f x ON x.doc_id = o.a JOIN f y ON y.doc_id = o.b WHERE c / (o.n + o.m - c)::DOUBLE >= 0.6::DOUBLE AND x.form <> y.form""",
+    "p3_found": f"{_SETS} SELECT a AS doc_id_a, b AS doc_id_b FROM near WHERE other",
+    "p3_groups": f"""{_SETS}, ends AS (SELECT a, b, other FROM near UNION ALL SELECT b, a, other FROM near),
+reach AS (SELECT doc_id, doc_id AS r FROM f UNION SELECT ends.b, reach.r FROM reach JOIN ends ON ends.a = reach.doc_id),
+links AS (SELECT a AS doc_id, count(*) FILTER (other) AS n_links FROM ends GROUP BY 1)
+SELECT reach.doc_id, min(r) AS group_id, coalesce(any_value(n_links), 0) AS n_links FROM reach LEFT JOIN links ON links.doc_id = reach.doc_id GROUP BY 1""",
 }

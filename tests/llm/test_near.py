@@ -1,6 +1,6 @@
 import itertools
 import random
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -44,10 +44,10 @@ def test_found_equals_brute_force(spark, tables):
     assert {tuple(r) for r in N.found(spark, data).collect()} == brute(texts)
 
 
-@pytest.mark.parametrize("settings", [{"rare": 2, "expected": 1}, {"rare": 0, "expected": 0}, {"long": 12}, {"long": 4, "rare": 1000}])
+@pytest.mark.parametrize("settings", [{"rare": 2, "expected": 1}, {"rare": 0, "expected": 0}, {"part": 12}, {"part": 4, "rare": 0, "expected": 0}])
 @pytest.mark.parametrize("seed", [2, 3])
 def test_every_kind_of_signature(spark, tables, seed, settings):
-    """Also the rules for common words and long sets, which small data hardly reach."""
+    """Also the rules for common words and for sets cut into parts, which small data hardly reach."""
     texts = _texts(seed)
     members, sets = N.classes(spark.createDataFrame([(i, t, None, T0) for i, t in texts.items()], "doc_id BIGINT, doc_in STRING, feed STRING, read_at TIMESTAMP"))
     links = cut(N.similar_sets(sets, **settings), "links")
@@ -56,48 +56,61 @@ def test_every_kind_of_signature(spark, tables, seed, settings):
     assert {(named[r.a], named[r.b]) for r in links.collect()} == brute(first)
 
 
+def test_hot_keys_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(N, "HOT_KEY", 5)
+    texts = _texts(5)
+    members, sets = N.classes(spark.createDataFrame([(i, t, None, T0) for i, t in texts.items()], "doc_id BIGINT, doc_in STRING, feed STRING, read_at TIMESTAMP"))
+    named = {r.set: r.doc_id for r in members.where("doc_id = set").collect()}
+    assert {(r.a, r.b) for r in N.similar_sets(sets, rare=20).collect()} == brute({i: texts[i] for i in named.values()})
+
+
+def test_long_texts(spark):
+    """Sets of 150 to 600 words, near the threshold on both sides."""
+    rng = random.Random(6)
+    vocabulary, weights = [f"v{k}" for k in range(5000)], [1 / (k + 1) for k in range(5000)]
+    texts = {}
+    for i in range(0, 120, 3):
+        words = list(dict.fromkeys(rng.choices(vocabulary, weights, k=rng.randrange(400, 2500))))
+        for k, share in enumerate((0.0, 0.22, 0.27)):
+            texts[i + k] = " ".join(f"x{rng.randrange(10**9)}" if rng.random() < share else w for w in words)
+    members, sets = N.classes(spark.createDataFrame([(i, t, None, T0) for i, t in texts.items()], "doc_id BIGINT, doc_in STRING, feed STRING, read_at TIMESTAMP"))
+    links = {(r.a, r.b) for r in N.similar_sets(sets, rare=3, expected=2).collect()}
+    assert links == brute(texts) and len(links) > 40
+
+
 def test_dirty_rows(spark, tables, same_as_sql):
+    """The latest text that is not null counts: record 20's null changes nothing, record 22's text without a word takes it out."""
     texts = ["a b c d e", "A, b; c. d e f", "e d c b a", "a a b c d e", None, "", "!!", "x", "X", "x y", "x y z", "only " * 30_000, "only twice", "Été à l'île", "été l île à"]
-    rows = [(i, t, None, T0) for i, t in enumerate(texts)] + [(0, "a b c d e", "f", T1)]
-    data = tables(extra="words,form,bag,set,w,a,b", collection_tsv=rows)
-    same_as_sql(N.QUERIES["p3_found"], N.SQL["p3_found"], data)
-    assert {tuple(r) for r in N.found(spark, data).collect()} == brute({i: t for i, t in enumerate(texts) if t})
+    rows = [(i, t, None, T0) for i, t in enumerate(texts)] + [(0, "a b c d e", "f", T1), (20, "k l m n", "f", T0), (20, None, "f", T1), (21, "k l m n o", "f", T0), (22, "p q r s", "f", T0), (22, "...", "f", T1), (23, "p q r s t", "f", T0)]
+    data = tables(extra="words,form,bag,set,w,a,b,key,tie", collection_tsv=rows)
+    for name in N.QUERIES:
+        same_as_sql(N.QUERIES[name], N.SQL[name], data)
+    assert {tuple(r) for r in N.found(spark, data).collect()} == brute({i: t for i, t in enumerate(texts) if t}) | {(20, 21)}
     empty = tables()
     assert N.found(spark, empty).collect() == N.groups(spark, empty).collect() == []
 
 
-def test_groups(spark, tables):
+def test_groups(spark, tables, same_as_sql):
     texts = _texts(4, 120)
     for i in range(120, 150):
         texts[i] = "w1 w2 w3 w4 w5 w6 w7"  # a group of copies
     data = tables(collection_tsv=[(i, t, "f", T0) for i, t in texts.items()])
-    links, parent = brute(texts), {i: i for i in texts}
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    bags = defaultdict(list)
-    for i, t in texts.items():
-        bags[tuple(sorted(t.split()))].append(i)
-    for i, j in [*links, *((b[0], i) for b in bags.values() for i in b)]:
-        a, b = root(i), root(j)
-        parent[max(a, b)] = min(a, b)
-    n = Counter(x for pair in links for x in pair)
-    assert {r.doc_id: (r.group_id, r.n_links) for r in N.groups(spark, data).collect()} == {i: (root(i), n[i]) for i in texts}
+    same_as_sql(N.QUERIES["p3_groups"], N.SQL["p3_groups"], data)
 
 
 @settings(deadline=None, max_examples=60)
 @given(st.sets(st.integers(0, 2**63 - 1), min_size=1, max_size=60), st.sets(st.integers(0, 2**63 - 1), max_size=60))
 def test_bounds_hold(x, extra):
-    """Neither the fingerprints nor the pivots ever put sets farther apart than they are."""
+    """The pivots never put sets farther apart than they are, and the bits give the largest difference over all references (of four blocks here)."""
     y = set(list(x)[: len(x) // 2]) | extra or {1}
     a, b = (np.array(sorted(s), np.uint64) for s in (x, y))
-    apart = len(x ^ y)
     with np.errstate(over="ignore"):
-        assert sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(N.parity(a), N.parity(b))) <= apart
-        assert np.abs(N.pivot_table(a) - N.pivot_table(b)).max() <= apart
+        p, q = (N.pivot_table(np.zeros(len(s), np.int64), s, 1)[0] for s in (a, b))
+        assert sum(((int(i) ^ int(j)) & (2**64 - 1)).bit_count() for i, j in zip(p, q)) <= len(x ^ y)
+    counts = [Counter(w % 4 for w in s) for s in (x, y)]
+    distance = lambda c, s: sum(n if k not in s else -n for k, n in c.items())
+    unions = [set(s) for r in range(5) for s in itertools.combinations(range(4), r)]
+    assert max(abs(distance(counts[0], s) - distance(counts[1], s)) for s in unions) == sum(abs(counts[0][k] - counts[1][k]) for k in range(4))
 
 
 def test_threshold_is_refused(spark):
