@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanix.session import new_path
-from gleanix.sources.tables import n_documents, occurrences, record_terms, table
+from gleanix.session import cut, new_path
+from gleanix.sources.tables import MOST_TASKS, n_documents, record_terms, table
 
 COUNTS = "term STRING, cf BIGINT, df BIGINT"
+CALLS = "add_id BIGINT, term STRING, doc_id BIGINT, gone BOOLEAN"
+#: Calls, or terms, of a bucket of the first load, about.
+BUCKET_ROWS = 1_000_000
 
 
 def signed_deltas(before: DataFrame | None, after: DataFrame) -> DataFrame:
@@ -30,27 +34,33 @@ def signed_deltas(before: DataFrame | None, after: DataFrame) -> DataFrame:
 
 
 class CountStore:
-    """Term counts in a folder, split into buckets by the term's hash.
-
-    ``v=<n>/bucket=<b>`` holds the counts of a bucket as of version n, and
-    ``manifest-<n>.json`` the version in which each bucket was last written.
-    :meth:`merge` rewrites only buckets that the deltas touch.  The manifest is
-    written last: a merge that dies leaves the store as it was, and running it
-    again overwrites its half-written version.  One writer at a time.
+    """Term counts, and the calls they come from, in a folder that outlives the job.
+
+    ``v=<n>/bucket=<b>`` holds the counts of the terms of a bucket as of version
+    n, ``calls/v=<n>/bucket=<b>`` the calls that came (or were withdrawn) with
+    version n for the records of a bucket.  ``manifest-<n>.json`` says which of
+    these make up the store.  :meth:`apply` adds a layer of calls, reads only
+    the buckets of the records that it touches, and rewrites only the buckets of
+    the terms whose counts change.  The number of buckets follows the first
+    load.  The manifest is written last: a change that dies leaves the store as
+    it was, and running it again overwrites its half-written version.  One
+    writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 32):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 32, bucket_rows: int = BUCKET_ROWS):
+        self.spark, self.path, self.bucket_rows = spark, path, bucket_rows
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.version, self.buckets, self._at = 0, buckets, {}
+        self.record_buckets, self._layers, self._withdrawn = 0, {}, False
         if self._fs.exists(self._path(path)):
             names = [s.getPath().getName() for s in self._fs.listStatus(self._path(path))]
             self.version = max([int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json")], default=0)
             if self.version:
                 kept = json.loads(self._read(f"manifest-{self.version}.json"))
                 self.buckets, self._at = kept["buckets"], {int(b): v for b, v in kept["at"].items()}
+                self.record_buckets, self._layers, self._withdrawn = kept["record_buckets"], {int(b): v for b, v in kept["layers"].items()}, kept["withdrawn"]
 
     def _read(self, name: str) -> str:
         return "".join(r.value for r in self.spark.read.text(f"{self.path}/{name}", wholetext=True).collect())
@@ -64,6 +74,50 @@ class CountStore:
     def _bucket(self) -> F.Column:
         return F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
 
+    def _folders(self, path: str) -> list[int]:
+        return [int(s.getPath().getName()[7:]) for s in self._fs.listStatus(self._path(path)) if s.getPath().getName().startswith("bucket=")]
+
+    def calls(self, buckets: list[int] | None = None, before: int | None = None) -> DataFrame:
+        """(add_id, term, doc_id) that hold, of the records of some buckets or of all, as of a version; a call may come more than once."""
+        where = [(v, b) for b, vs in self._layers.items() if buckets is None or b in buckets for v in vs if before is None or v < before]
+        if not where:
+            return self.spark.createDataFrame([], CALLS).drop("gone")
+        layers: dict[int, list[str]] = {}
+        for v, b in where:
+            layers.setdefault(v, []).append(f"{self.path}/calls/v={v}/bucket={b}")
+        rows = reduce(DataFrame.unionByName, [self.spark.read.schema(CALLS).parquet(*paths).withColumn("v", F.lit(v)) for v, paths in layers.items()])
+        if self._withdrawn:  # of a version that both adds and withdraws a call, the withdrawal holds
+            rows = rows.groupBy("add_id", "term", "doc_id").agg(F.max(F.struct("v", "gone")).alias("last")).where("NOT last.gone")
+        return rows.select("add_id", "term", "doc_id")
+
+    def apply(self, calls: DataFrame) -> CountStore:
+        """Take in a change: calls (add_id, term, doc_id), and where there is a column ``gone`` that is true, calls to withdraw.
+
+        A record is added by its first call, changed by further ones, and
+        deleted when all are withdrawn.  A call that the store has already, and
+        withdrawing one that it has not, changes nothing.
+        """
+        new = self.version + 1
+        gone = F.coalesce("gone", F.lit(False)) if "gone" in calls.columns else F.lit(False)
+        rows = calls.where("term IS NOT NULL AND doc_id IS NOT NULL").select("add_id", F.expr("rtrim(' ', term)").alias("term"), "doc_id", gone.alias("gone"))
+        if not self.record_buckets:
+            self.record_buckets = max(16, -(-rows.count() // self.bucket_rows))
+        at = f"{self.path}/calls/v={new}"
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(self.record_buckets)).cast("int").alias("bucket")
+        # rebalancing splits a bucket that is much larger than others, which one record may make it
+        rows.select("*", bucket).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(at)
+        touched = self._folders(at)
+        layers = self._layers
+        known = sorted(set(touched) & set(layers))
+        self._layers = {b: [v for v in layers.get(b, []) if v < new] + ([new] if b in touched else []) for b in sorted({*layers, *touched})}
+        if touched and "gone" in calls.columns:
+            self._withdrawn = self._withdrawn or not self.spark.read.schema(CALLS).parquet(at).where("gone").isEmpty()
+        if not known:
+            return self.merge(signed_deltas(None, record_terms(self.calls(touched))))
+        records = cut(self.spark.read.schema(CALLS).parquet(at).select("doc_id").distinct(), "touched")
+        of_them = lambda rows: record_terms(rows.join(records, "doc_id", "left_semi"))
+        return self.merge(signed_deltas(of_them(self.calls(known, before=new)), of_them(self.calls(touched))))
+
     def counts(self, buckets: list[int] | None = None) -> DataFrame:
         """(term, cf, df) as of the last merge; of the given buckets only, if any are given."""
         where = sorted(self._at if buckets is None else set(buckets) & set(self._at))
@@ -77,20 +131,21 @@ class CountStore:
         Raises where a count would become negative: the deltas do not fit the store.
         """
         spark, new = self.spark, self.version + 1
-        held = new_path(spark, "deltas")
-        deltas.select("term", "d_cf", "d_df", self._bucket().alias("bucket")).write.partitionBy("bucket").parquet(held)
-        deltas = spark.read.schema("term STRING, d_cf BIGINT, d_df BIGINT, bucket INT").parquet(held)
-        touched = [r.bucket for r in deltas.select("bucket").distinct().collect()]  # at most self.buckets rows
+        deltas = cut(deltas.select("term", "d_cf", "d_df"), "deltas")
+        if not self.version:
+            self.buckets = max(self.buckets, -(-deltas.count() // self.bucket_rows))
+        deltas = deltas.withColumn("bucket", self._bucket())
+        touched = [r.bucket for r in deltas.select("bucket").distinct().collect()]  # a number for each bucket
         if touched:
             old = self.counts(touched).select("term", F.col("cf").alias("d_cf"), F.col("df").alias("d_df"), self._bucket().alias("bucket"))
             sums = old.unionByName(deltas).groupBy("bucket", "term").agg(F.sum("d_cf").alias("cf"), F.sum("d_df").alias("df"))
             bad = F.raise_error(F.concat(F.lit("count below zero: "), F.coalesce("term", F.lit("null"))))
             sums = sums.withColumn("cf", F.when((F.col("cf") < 0) | (F.col("df") < 0), bad.cast("bigint")).otherwise(F.col("cf"))).where("cf <> 0 OR df <> 0")
-            sums.repartition(min(len(touched), 200), "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v={new}")
-            there = {int(s.getPath().getName()[7:]) for s in self._fs.listStatus(self._path(f"{self.path}/v={new}")) if s.getPath().getName().startswith("bucket=")}
+            sums.repartition(min(len(touched), MOST_TASKS), "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v={new}")
+            there = set(self._folders(f"{self.path}/v={new}"))
             self._at = {b: v for b, v in self._at.items() if b not in touched} | {b: new for b in there}
         self._fs.mkdirs(self._path(self.path))
-        self._write(f"manifest-{new}.json", json.dumps({"buckets": self.buckets, "at": self._at}))
+        self._write(f"manifest-{new}.json", json.dumps({"buckets": self.buckets, "at": self._at, "record_buckets": self.record_buckets, "layers": self._layers, "withdrawn": self._withdrawn}))
         self.version = new
         return self
 
@@ -105,19 +160,13 @@ def count_in_two_loads(calls: DataFrame, path: str, first_share: float = 0.9) ->
 
     The first load is what was logged within the first ``first_share`` of the
     time span (and calls without a time); the rest arrives as a change.  It adds
-    records, and it changes records of which calls came late.  Only the records
-    that it touches are looked at again: their terms without and with the new
-    calls give the deltas.  A call logged again changes nothing.
+    records, and it changes records of which calls came late.
     """
     spark = calls.sparkSession
     span = calls.agg(F.min(F.unix_micros("logged_at")).alias("lo"), F.max(F.unix_micros("logged_at")).alias("hi")).first()
     until = span.lo + int((span.hi - span.lo) * first_share) if span.lo is not None else 0
     late = F.coalesce(F.unix_micros("logged_at") > F.lit(until), F.lit(False))
-    first, change = calls.where(~late), calls.where(late)
-    store = CountStore(spark, path).merge(signed_deltas(None, record_terms(first)))
-    touched = change.where("term IS NOT NULL AND doc_id IS NOT NULL").select("doc_id").distinct()
-    known = first.join(touched, "doc_id", "left_semi")
-    return store.merge(signed_deltas(record_terms(known), record_terms(known.unionByName(change))))
+    return CountStore(spark, path).apply(calls.where(~late).drop("gone")).apply(calls.where(late).drop("gone"))
 
 
 def term_counts(spark: SparkSession, data_dir: str) -> DataFrame:
