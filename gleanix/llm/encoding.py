@@ -43,48 +43,81 @@ def _reader(codec: str) -> tuple[re.Pattern, dict[str, int]]:
     return re.compile(f"{cls(0xC2, 0xDF)}{more}|{cls(0xE0, 0xEF)}{more}{{2}}|{cls(0xF0, 0xF4)}{more}{{3}}"), byte
 
 
-def undo(text: str, codec: str, seen: Counter | None = None) -> str:
-    """Read every sequence that is valid UTF-8 under ``codec`` as UTF-8; ``seen`` counts (garbled, restored)."""
-    pattern, byte = _reader(codec)
+#: What is left of "à" where a no-break space within a sequence became a plain one: the blank before another, a mark or the end.
+_BLANK_A = re.compile(r"(?<![A-ZÀ-Þ]{2})Ã (?=[\s.,;:!?)»]|$)")
 
-    def restore(m: re.Match) -> str:
+
+def _spans(text: str, codec: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, restored) of every sequence that is valid UTF-8 under ``codec``."""
+    pattern, byte = _reader(codec)
+    for m in pattern.finditer(text):
         try:
-            u = bytes(byte[c] for c in m[0]).decode("utf-8")
+            yield m.start(), m.end(), bytes(byte[c] for c in m[0]).decode("utf-8")
         except UnicodeDecodeError:
-            return m[0]
+            pass
+    if codec in ("cp1252", "latin-1"):
+        for m in _BLANK_A.finditer(text):
+            yield m.start(), m.end(), "à"
+
+
+def undo(text: str, codec: str, seen: Counter | None = None) -> str:
+    """Read every sequence that is valid UTF-8 under ``codec`` as UTF-8; ``seen`` counts (garbled, restored)."""
+    out, at = [], 0
+    for start, end, u in sorted(_spans(text, codec)):
         if seen is not None:
-            seen[m[0], u] += 1
-        return u
+            seen[text[start:end], u] += 1
+        out += [text[at:start], u]
+        at = end
+    return "".join([*out, text[at:]])
 
-    return pattern.sub(restore, text)
+
+def _read_entities(text: str) -> tuple[str, list[str]]:
+    """The text with entities of characters beyond ASCII read, and what each of its characters was written as."""
+    chars, written, at = [], [], 0
+    for m in _ENTITIES.finditer(text):
+        c = html.unescape(m[0])
+        if len(c) == 1 and not c.isascii():
+            plain = text[at : m.start()]
+            chars += [plain, c]
+            written += [*plain, m[0]]
+            at = m.end()
+    return "".join([*chars, text[at:]]), [*written, *text[at:]]
 
 
 def repair(text: str, chain: str) -> str | None:
-    """Undo a chain; null for text whose characters were lost."""
+    """Undo a chain; null for text whose characters were lost.  Entities that belong to no garbled sequence stay as they are written."""
     if chain == LOST:
         return None
-    for step in chain.split(">"):
-        if step == ENTITY:
-            text = _ENTITIES.sub(lambda m: html.unescape(m[0]), text)
-        else:
-            text = undo(text, step)
-            if step in ("cp1252", "latin-1"):
-                text = text.replace("Ã ", "à")  # a no-break space within a sequence became a plain one
-    return text
+    steps = chain.split(">")
+    read, written = _read_entities(text) if steps[0] == ENTITY else (text, list(text))
+    for step in steps[steps[0] == ENTITY :]:
+        chars, as_written, at = [], [], 0
+        for start, end, u in sorted(_spans(read, step)):
+            chars += [read[at:start], u]
+            as_written += [*written[at:start], u, *[""] * (len(u) - 1)]
+            at = end
+        read, written = "".join([*chars, read[at:]]), [*as_written, *written[at:]]
+    return "".join(written)
 
 
 def evidence(text: str) -> Iterator[tuple[str, Counter]]:
-    """(chain, counts of (garbled, restored)) for every chain of one or two wrong readings of which the text has a trace."""
+    """(chain, counts of (garbled, restored)) for every chain of one or two wrong readings of which the text has a trace.
+
+    The text as it is comes first; with its entities read it is a reading of its
+    own where that adds a trace.
+    """
     if "�" in text:
         yield LOST, Counter({("�", ""): text.count("�")})
     starts = [("", text)]
-    if "&" in text and (plain := _ENTITIES.sub(lambda m: html.unescape(m[0]), text)) != text:
-        starts = [(ENTITY + ">", plain)]
+    if "&" in text and (plain := _read_entities(text)[0]) != text:
+        starts.append((ENTITY + ">", plain))
+    traces: dict[str, int] = {}
     for name, start in starts:
         for codec in CODECS:
             seen: Counter = Counter()
             once = undo(start, codec, seen)
-            if not seen:
+            traces[name + codec] = seen.total()
+            if not seen or name and traces[name + codec] <= traces[codec]:
                 continue
             yield name + codec, seen
             parts = {u for _, u in seen}
@@ -178,7 +211,7 @@ def _score(chars: Counter):
     return score
 
 
-def posteriors(records: DataFrame, rounds: int = 4, pull: float = 20.0) -> DataFrame:
+def posteriors(records: DataFrame, most_rounds: int = 25, settled: float = 1e-3, pull: float = 20.0) -> DataFrame:
     """(doc_id, feed, doc_in) -> (doc_id, chain, posterior) for records with a trace of a chain.
 
     Expectation-maximisation with a latent chain for every record.  A sequence
@@ -188,23 +221,26 @@ def posteriors(records: DataFrame, rounds: int = 4, pull: float = 20.0) -> DataF
     feed (drawn to those of all feeds by ``pull`` records) and the commonness of
     characters for the whole collection; both are estimated again in each
     round, so that weak traces weigh more in a feed with many strong ones.
+    Rounds end when the weights of all feeds and chains have moved by no more
+    than ``settled`` of their sum, or after ``most_rounds``.
     ``doc_id`` must be unique.  Null texts have no trace.
     """
     records = records.where("doc_in IS NOT NULL").withColumn("feed", F.coalesce("feed", F.lit("")))
     found = cut(signs(records), "signs")
     base = character_counts(records)
-    feeds = records.groupBy("feed").agg(F.count(F.lit(1)).cast("double").alias("n_feed"))
-    n_all = records.count()
+    feeds = cut(records.groupBy("feed").agg(F.count(F.lit(1)).cast("double").alias("n_feed")), "feeds")
+    n_all = feeds.agg(F.sum("n_feed")).first()[0] or 0
     chars = base
     weights = cut(found.groupBy("feed", "chain").agg(F.countDistinct("doc_id").cast("double").alias("w")), "weights")
-    feeds = cut(feeds, "feeds")
-    for k in range(rounds):
+    for _ in range(most_rounds):
         post = cut(_expect(found, weights, feeds, n_all, pull, _score(chars)), "posterior")
-        if k == rounds - 1:
-            return post.select("doc_id", "chain", "posterior")
-        weights = cut(post.groupBy("feed", "chain").agg(F.sum("posterior").alias("w")), "weights")
+        moved = cut(post.groupBy("feed", "chain").agg(F.sum("posterior").alias("now")).join(weights, ["feed", "chain"], "full").select("feed", "chain", F.coalesce("now", F.lit(0.0)).alias("now"), F.coalesce("w", F.lit(0.0)).alias("w")), "weights")
+        total = moved.agg(F.sum(F.abs(F.col("now") - F.col("w"))).alias("by"), F.sum("now").alias("all")).first()
+        if total.by is None or total.by <= settled * (total["all"] or 0.0):
+            break
+        weights = moved.select("feed", "chain", F.col("now").alias("w"))
         chars = _maximise(base, post)
-    raise ValueError("rounds must be at least 1")
+    return post.select("doc_id", "chain", "posterior")
 
 
 def _expect(found: DataFrame, weights: DataFrame, feeds: DataFrame, n_all: int, pull: float, score) -> DataFrame:
@@ -231,7 +267,7 @@ def _maximise(base: Counter, post: DataFrame) -> Counter:
 
 
 def _records(spark: SparkSession, data_dir: str) -> DataFrame:
-    """One text a doc_id: rows read twice hold the same text, and the largest (latest read) is taken."""
+    """One text a doc_id: the latest that is not null."""
     return latest_records(table(spark, data_dir, "collection_tsv").where("doc_in IS NOT NULL"), "feed", "doc_in")
 
 

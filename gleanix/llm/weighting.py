@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanix.functions.scoring import B, K1, bm25_weight, tfidf_weight
@@ -29,7 +29,7 @@ def weights(pairs: DataFrame, n_docs: int) -> DataFrame:
 
 
 def distinctive(weighted: DataFrame, n_docs: int, least: float = 1.5, least_df: int = 2) -> DataFrame:
-    """The (doc_id, term) whose TF-IDF weight reaches ``least * ln N``, found by their BM25 weight.
+    """The (doc_id, term) whose TF-IDF weight reaches ``least * ln N``, among those that their BM25 weight lets pass.
 
     Such a pair has ``1 + ln tf >= least * ln N / ln(N / df)``, hence at least a
     certain tf.  The BM25 weight grows with tf, so a pair whose BM25 weight is
@@ -58,6 +58,14 @@ def all_weights(spark: SparkSession, data_dir: str) -> DataFrame:
     return weights(pairs, n).select("doc_id", "term", "tf", "df", F.round("w_tfidf", 6).alias("w_tfidf"), F.round("w_bm25", 6).alias("w_bm25"))
 
 
+def top_terms(spark: SparkSession, data_dir: str, k: int = 5) -> DataFrame:
+    """The ``k`` terms that are most distinctive of each record: (doc_id, rank, term, w_bm25), ties to the smaller term."""
+    pairs, n = _inputs(spark, data_dir)
+    best = Window.partitionBy("doc_id").orderBy(F.desc("w_bm25"), "term")  # Spark keeps k rows a record and task before the exchange
+    rows = weights(pairs, n).select("doc_id", "term", F.round("w_bm25", 6).alias("w_bm25"))
+    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def term_bounds(spark: SparkSession, data_dir: str) -> DataFrame:
     """Each term's highest weights, at least 0, beside the highest bound that the stored lexicon has for it (null where it has none)."""
     pairs, n = _inputs(spark, data_dir)
@@ -73,10 +81,11 @@ n AS (SELECT count(DISTINCT doc_id) AS n FROM doc_table), a AS (SELECT avg(dl) A
 w AS (SELECT p.doc_id, p.term, tf, df, n, (1 + ln(tf)) * CASE WHEN n // df < 1 THEN '-inf'::DOUBLE ELSE ln(n // df) END AS w_tfidf,
  tf / (1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl) + tf) * ln(n::DOUBLE / df) AS w_bm25 FROM p JOIN d ON p.term = d.term JOIN l ON p.doc_id = l.doc_id, n, a)"""
 
-QUERIES = {"p5_found": found, "p5_weights": all_weights, "p5_term_bounds": term_bounds}
+QUERIES = {"p5_found": found, "p5_weights": all_weights, "p5_top_terms": top_terms, "p5_term_bounds": term_bounds}
 SQL = {
     "p5_found": f"{_WEIGHTS} SELECT doc_id, term FROM w WHERE df >= 2 AND w_tfidf >= 1.5::DOUBLE * ln(n) - 1e-12",
     "p5_weights": f"{_WEIGHTS} SELECT doc_id, term, tf, df, round(w_tfidf, 6) AS w_tfidf, round(w_bm25, 6) AS w_bm25 FROM w",
+    "p5_top_terms": f"{_WEIGHTS} SELECT doc_id, term, round(w_bm25, 6) AS w_bm25, row_number() OVER (PARTITION BY doc_id ORDER BY round(w_bm25, 6) DESC, term) AS rank FROM w QUALIFY rank <= 5",
     "p5_term_bounds": f"""{_WEIGHTS}, b AS (SELECT term, max(df) AS df, round(greatest(0::DOUBLE, max(w_tfidf)), 6) AS ub_tfidf, round(greatest(0::DOUBLE, max(w_bm25)), 6) AS ub_bm25 FROM w GROUP BY term),
 s AS (SELECT rtrim(term, ' ') AS term, round(max(term_upper_bound_tfidf::DOUBLE), 4) AS stored_ub_tfidf FROM lexicon_line_final GROUP BY 1)
 SELECT b.term, df, ub_tfidf, ub_bm25, stored_ub_tfidf FROM b LEFT JOIN s ON b.term = s.term""",

@@ -46,6 +46,17 @@ def test_entities_and_lost_text():
     assert E.repair("LÃ  oÃ¹", "cp1252") == "Là où"
 
 
+def test_sound_parts_of_a_garbled_text_are_not_touched():
+    assert E.repair("MANHÃ E CAFÃ©", "cp1252") == "MANHÃ E CAFé"
+    assert E.repair("MANHÃ , CAFÃ©", "cp1252") == "MANHÃ , CAFé"
+    text = "use &lt;b&gt; in cafÃ© &amp; th&eacute;"
+    assert [chain for chain, _ in E.evidence(text) if chain in ("cp1252", "entity>cp1252")] == ["cp1252"]
+    assert E.repair(text, "cp1252") == "use &lt;b&gt; in café &amp; th&eacute;"
+    hidden = "use &lt;b&gt; in caf&Atilde;&copy; &amp; th&eacute;"
+    assert "entity>cp1252" in dict(E.evidence(hidden)) and "cp1252" not in dict(E.evidence(hidden))
+    assert E.repair(hidden, "entity>cp1252") == "use &lt;b&gt; in café &amp; th&eacute;"
+
+
 def _rows(n: int = 400):
     rng = random.Random(9)
     rows, bad = [], {}
@@ -81,6 +92,23 @@ def test_found_and_restored(spark, tables):
     assert got == bad
 
 
+def test_feeds_not_used_for_any_constant(spark):
+    """Held out: feeds of other words, each with its own codec and share of garbled records, some of one short word only."""
+    rng = random.Random(77)
+    words = "fenêtre pêche Übung Käse señal cañón höher früh déjà naïf garçon Öl Spaß élan jalapeño".split()
+    plain = "the river runs past a mill and an old bridge of stone in autumn".split()
+    rows, bad = [], set()
+    for i in range(1500):
+        feed = i % 5
+        text = " ".join(rng.sample(plain, 6) + rng.sample(words, rng.choice([1, 1, 2, 4])))
+        if rng.random() < (0.0, 0.02, 0.1, 0.3, 0.9)[feed]:
+            text = garble(text, ("cp1252", "cp1252", "mac_roman", "cp1250", "cp437")[feed])
+            bad.add(i)
+        rows.append((i, text, f"feed {feed}"))
+    got = {r.doc_id for r in E.best_chain(E.posteriors(spark.createDataFrame(rows, "doc_id BIGINT, doc_in STRING, feed STRING"))).collect()}
+    assert len(got & bad) >= 0.98 * len(bad) and len(got - bad) <= 0.02 * len(got)
+
+
 def test_weak_evidence_counts_more_in_a_bad_feed(spark):
     rows = [(i, "bad", garble("Größe über café", "cp1252")) for i in range(60)] + [(i, "good", "Größe über café ß… CAFÉ»") for i in range(100, 400)]
     rows += [(990, "bad", "only Â° here"), (991, "good", "only Â° here")]

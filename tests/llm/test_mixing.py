@@ -53,7 +53,7 @@ def _tables(spark):
 
 def test_feasible_total_meets_all_shares_exactly(spark):
     rows, sized, targets = _tables(spark)
-    got = M.mix(sized, targets).collect()
+    got = M.mix(sized, targets, None).collect()
     assert len({r.doc_id for r in got}) == len(got)
     most = {"a": 1, "b": 2, "c": 4}
     assert all(1 <= r.uses <= most[r.src] for r in got)
