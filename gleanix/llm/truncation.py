@@ -21,9 +21,13 @@ from gleanix.sources.tables import table
 
 SHINGLE = 5
 BANDS, ROWS = 8, 3
+#: Openings of so many words have bands of their own, in which a text meets copies that are cut anywhere behind them.
+OPENINGS, OPENING_BANDS, OPENING_ROWS = (16, 32, 64), 3, 2
 THRESHOLD = 0.8
 #: Texts of a bucket that one group holds of each of its two blocks, about.
 BLOCK = 256
+#: Letters up to which all beginnings of a word are listed.
+HEAD = 32
 #: Whole words before the closing one that are laid along another text, at most; one edit fewer is allowed than they have runs of five.
 TAIL = 20
 
@@ -61,17 +65,27 @@ def shingle_hashes(words: np.ndarray) -> np.ndarray:
     return h
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """One key per band of ROWS minima; equal keys in a band make two texts candidates."""
+def _bands(shingles: np.ndarray, bands: int, rows: int, seed: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        least = np.array([(shingles * m).min() for m in _MULTIPLIERS])
-        keys = np.zeros(BANDS, np.uint64)
-        for r in range(ROWS):
-            keys = (keys ^ least[r::ROWS]) * np.uint64(0xD6E8FEB86659FD93)
+        least = np.array([(shingles * m).min() for m in _MULTIPLIERS[: bands * rows]])
+        keys = np.full(bands, seed, np.uint64)
+        for r in range(rows):
+            keys = (keys ^ least[r::rows]) * np.uint64(0xD6E8FEB86659FD93)
             keys ^= keys >> np.uint64(32)
     return keys
 
 
+def band_keys(words: np.ndarray) -> np.ndarray:
+    """Keys of the bands of minima of a text's hashed words; equal keys in a band make two texts candidates.
+
+    BANDS of the whole text, then OPENING_BANDS of each of the OPENINGS that it
+    has: a cut copy shares the openings with its whole, however much is lost.
+    """
+    keys = [_bands(shingle_hashes(words), BANDS, ROWS, 0)]
+    keys += [_bands(shingle_hashes(words[:n]), OPENING_BANDS, OPENING_ROWS, n) for n in OPENINGS if len(words) >= n]
+    return np.concatenate(keys)
+
+
 _SCAN = "kind STRING, key STRING, a BIGINT, b BIGINT, doc_id BIGINT, mark STRING, start STRING, closing STRING, bands ARRAY<BIGINT>"
 
 
@@ -130,7 +144,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ends[before] += 1
                 last[before] += 1
             words = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))
-            keys = band_keys(shingle_hashes(words)).view(np.int64) if len(words) else np.zeros(0, np.int64)
+            keys = band_keys(words).view(np.int64) if len(words) else np.zeros(0, np.int64)
             mark, start, closing = ending(start + _LONG if unit.count(" ") >= _LONG_BLANKS else start, unit) if unit else ("void", "", "")
             for column, v in zip(rows, (mark, start, closing, keys, unit if mark == "dots" else None)):
                 column.append(v)
@@ -287,8 +301,8 @@ def _laid(a: list[str], b: list[str]) -> bool | None:
 
 
 def _similar(s: set[int], t: set[int]) -> bool:
-    both = len(s & t)
-    return both >= THRESHOLD * (len(s) + len(t) - both)
+    """Whether the smaller text's shingles are in the other, but for one in five: a cut copy lacks what the whole goes on with."""
+    return len(s & t) >= THRESHOLD * min(len(s), len(t))
 
 
 def compare(texts: list[str], bands: list[list[int]], band: int, blocks: list[int]) -> list[bool | None]:
@@ -334,8 +348,8 @@ def near_copies(docs: DataFrame, documents: DataFrame) -> DataFrame:
     Texts that share a band of min-hashes are candidates,
     every one with every other: a bucket is dealt to blocks of about BLOCK
     texts, and each two blocks meet in a group of their own, so that no task
-    holds a large bucket.  Pairs of which the five-word shingles overlap by less
-    than 0.8 are dropped.
+    holds a large bucket.  Pairs of which the smaller text's five-word shingles
+    are in the other to less than 0.8 are dropped.
     """
     members = docs.where("size(bands) > 0").select(F.col("doc_id").alias("id"), "bands", F.posexplode("bands").alias("band", "key")).select("id", "bands", "band", F.xxhash64("band", "key").alias("bucket"))
     shared = cut(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
@@ -349,6 +363,14 @@ def near_copies(docs: DataFrame, documents: DataFrame) -> DataFrame:
     return verified.groupBy(F.col("id").alias("doc_id")).agg(F.max("cut").alias("cut"))
 
 
+def _looked_up(docs: DataFrame, stats: DataFrame, key: str) -> DataFrame:
+    """docs left join stats on a key that many texts may share; written."""
+    n = docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n_texts"))
+    side = cut(n.join(stats, key), "side")
+    total = side.agg(F.sum("n_texts")).first()[0] or 0
+    return cut(join_stats(docs, side, key, "n_texts", total, "left").drop("n_texts"), "looked-up")
+
+
 def terminality(docs: DataFrame, stats: DataFrame) -> DataFrame:
     """(doc_id, unclosed, cut, cut_at_limit) for texts without a near-copy, from how their closing words and last lines usually end.
 
@@ -375,13 +397,12 @@ def terminality(docs: DataFrame, stats: DataFrame) -> DataFrame:
     sizes = starts.groupBy("shape", "long").agg(F.avg(F.col("b") / F.col("a")).alias("usual_size"))
     starts = starts.join(each, "token").join(shapes, "shape").join(sizes, ["shape", "long"])
     starts = starts.select(F.col("key").alias("start"), "long", ((F.col("b_all") + F.col("usual")) / (F.col("a_all") + 1)).alias("ends"), ((F.col("b") + F.col("usual_size")) / (F.col("a") + 1)).alias("ends_size"))
-    stop = docs.where("mark = 'stop' AND closing RLIKE '[.)]$'").join(stops, "closing", "left").withColumn("cut", F.coalesce(F.col("goes_on") > 0.5, F.lit(False))).withColumn("cut_at_limit", F.col("cut"))
-    other = docs.where("mark IN ('open', 'dots')").join(words, "closing", "left").join(starts, "start", "left")
+    stop = _looked_up(docs.where("mark = 'stop' AND closing RLIKE '[.)]$'"), stops, "closing").withColumn("cut", F.coalesce(F.col("goes_on") > 0.5, F.lit(False))).withColumn("cut_at_limit", F.col("cut"))
     formula = stats.where("kind = 'dots' AND a > 2").select(F.col("key").alias("unit"), F.lit(True).alias("formula"))
-    other = other.join(formula, "unit", "left")
     alone = stats.where("kind = 'last'").select(F.col("key").alias("closing"), F.col("a").alias("n_last")).join(words, "closing").where("n_last >= 0.5 * n_word").select("closing", "n_word")
-    parts = alone.join(_prefixes(stats), "closing").where("n_longer > n_word").select("closing").distinct().withColumn("part", F.lit(True))
-    other = other.join(parts, "closing", "left")
+    parts = alone.join(_prefixes(stats, alone), "closing").where("n_longer > n_word").select("closing").distinct().withColumn("part", F.lit(True))
+    other = _looked_up(docs.where("mark IN ('open', 'dots')"), words.join(parts, "closing", "left"), "closing")
+    other = _looked_up(_looked_up(other, starts, "start"), formula, "unit")
     closing = words.agg(F.sum("n_final") / F.sum("n_word")).first()[0] or 0.0
     closing = min(max(closing, 1e-9), 1 - 1e-9)
     final = F.coalesce(F.col("n_final"), F.lit(0)) / (F.coalesce(F.col("n_word"), F.lit(0)) + 1)
@@ -400,10 +421,17 @@ def _shape(column: str) -> Column:
     return F.concat(kind, F.when(last.rlike(r"[\p{L}\p{N}]"), "").otherwise(last))
 
 
-def _prefixes(stats: DataFrame) -> DataFrame:
-    """(closing, n_longer): every proper beginning of the words that occur more than once, and how often the commonest of them does."""
-    known = stats.where("kind = 'word' AND a > 1 AND length(key) BETWEEN 2 AND 64")
-    return known.select(F.explode(F.expr("transform(sequence(1, length(key) - 1), k -> substring(key, 1, k))")).alias("closing"), "a").groupBy("closing").agg(F.max("a").alias("n_longer"))
+def _prefixes(stats: DataFrame, alone: DataFrame) -> DataFrame:
+    """(closing, n_longer): the proper beginnings, of those in ``alone``, of words that occur more than once, and how often the commonest of the words does.
+
+    Words are listed with their beginnings of up to HEAD letters; longer
+    beginnings are compared among the words that share so many.
+    """
+    known = stats.where("kind = 'word' AND a > 1 AND length(key) >= 2")
+    heads = known.select(F.explode(F.expr(f"transform(sequence(1, least(length(key) - 1, {HEAD})), k -> substring(key, 1, k))")).alias("closing"), "a")
+    far = alone.where(f"length(closing) > {HEAD}").select("closing", F.substring("closing", 1, HEAD).alias("head"))
+    tails = known.where(f"length(key) > {HEAD}").join(far, F.substring("key", 1, HEAD) == F.col("head")).where("length(key) > length(closing) AND startswith(key, closing)").select("closing", "a")
+    return heads.unionByName(tails).groupBy("closing").agg(F.max("a").alias("n_longer"))
 
 
 def judged(documents: DataFrame) -> DataFrame:
@@ -436,5 +464,14 @@ def rates(spark: SparkSession, data_dir: str) -> DataFrame:
     return each.withColumn("rate", F.round(F.col("truncated") / F.col("documents"), 6))
 
 
-QUERIES = {"p9_found": found, "p9_rates": rates}
-SQL: dict[str, str] = {}
+def documents(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Per source the documents judged, each once, and whether all have a verdict."""
+    each = judged(_documents(spark, data_dir)).groupBy(F.col("src").alias("source"))
+    return each.agg(F.count(F.lit(1)).alias("documents"), F.countDistinct("doc_id").alias("ids"), F.count_if(F.col("cut").isNull()).alias("without"))
+
+
+QUERIES = {"p9_found": found, "p9_rates": rates, "p9_documents": documents}
+SQL = {
+    "p9_documents": """WITH d AS (SELECT doc_id, coalesce(regexp_replace(lower(trim(source, ' ')), '[\\s-]+', '_', 'g'), '') AS source FROM documents WHERE doc_id IS NOT NULL)
+SELECT source, count(*) AS documents, count(DISTINCT doc_id) AS ids, 0::BIGINT AS without FROM d GROUP BY 1""",
+}
