@@ -26,6 +26,10 @@ OPENINGS, OPENING_BANDS, OPENING_ROWS = (16, 32, 64), 3, 2
 THRESHOLD = 0.8
 #: Texts of a bucket that one group holds of each of its two blocks, about.
 BLOCK = 256
+#: Texts of the groups that are compared in one call, about.
+LOT = 1024
+#: Ids that are broadcast at most: 8 MB.
+FEW_IDS = 1_000_000
 #: Letters up to which all beginnings of a word are listed.
 HEAD = 32
 #: Whole words before the closing one that are laid along another text, at most; one edit fewer is allowed than they have runs of five.
@@ -65,13 +69,19 @@ def shingle_hashes(words: np.ndarray) -> np.ndarray:
     return h
 
 
-def _bands(shingles: np.ndarray, bands: int, rows: int, seed: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        least = np.array([(shingles * m).min() for m in _MULTIPLIERS[: bands * rows]])
-        keys = np.full(bands, seed, np.uint64)
-        for r in range(rows):
-            keys = (keys ^ least[r::rows]) * np.uint64(0xD6E8FEB86659FD93)
-            keys ^= keys >> np.uint64(32)
+def _least(shingles: np.ndarray) -> np.ndarray:
+    """The minimum of the shingles under each of the random multipliers."""
+    if len(shingles) <= 4096:
+        return (shingles[:, None] * _MULTIPLIERS).min(0)
+    return np.array([(shingles * m).min() for m in _MULTIPLIERS])
+
+
+def _fold(least: np.ndarray, bands: int, rows: int, seed: np.ndarray) -> np.ndarray:
+    """Keys of shape (..., bands) from minima of shape (..., rows * bands)."""
+    keys = np.repeat(seed[..., None], bands, -1)
+    for r in range(rows):
+        keys = (keys ^ least[..., r::rows]) * np.uint64(0xD6E8FEB86659FD93)
+        keys ^= keys >> np.uint64(32)
     return keys
 
 
@@ -81,9 +91,15 @@ def band_keys(words: np.ndarray) -> np.ndarray:
     BANDS of the whole text, then OPENING_BANDS of each of the OPENINGS that it
     has: a cut copy shares the openings with its whole, however much is lost.
     """
-    keys = [_bands(shingle_hashes(words), BANDS, ROWS, 0)]
-    keys += [_bands(shingle_hashes(words[:n]), OPENING_BANDS, OPENING_ROWS, n) for n in OPENINGS if len(words) >= n]
-    return np.concatenate(keys)
+    shingles = shingle_hashes(words)
+    with np.errstate(over="ignore"):
+        keys = _fold(_least(shingles), BANDS, ROWS, np.zeros((), np.uint64))
+        openings = [n for n in OPENINGS if len(words) >= n]
+        if not openings:
+            return keys
+        some = shingles[: openings[-1] - SHINGLE + 1, None] * _MULTIPLIERS[: OPENING_BANDS * OPENING_ROWS]
+        least = np.stack([some[: n - SHINGLE + 1].min(0) for n in openings])
+        return np.concatenate([keys, _fold(least, OPENING_BANDS, OPENING_ROWS, np.array(openings, np.uint64)).ravel()])
 
 
 _SCAN = "kind STRING, key STRING, a BIGINT, b BIGINT, doc_id BIGINT, mark STRING, start STRING, closing STRING, bands ARRAY<BIGINT>"
@@ -337,9 +353,16 @@ def compare(texts: list[str], bands: list[list[int]], band: int, blocks: list[in
     return verdicts
 
 
-def _compared(group: pd.DataFrame) -> pd.DataFrame:
-    verdicts = compare(group["text"].tolist(), group["bands"].tolist(), int(group["band"].iloc[0]), group["block"].tolist())
-    return pd.DataFrame({"id": group["id"], "cut": pd.Series(verdicts, group.index, dtype=object)}).dropna()
+def _compared(lot: pd.DataFrame) -> pd.DataFrame:
+    """Compares within each of the lot's groups of (bucket, low, high)."""
+    lot = lot.sort_values(["bucket", "low", "high"], kind="stable")
+    keys = lot[["bucket", "low", "high"]].to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])).tolist()
+    texts, bands, band, block = (lot[c].tolist() for c in ("text", "bands", "band", "block"))
+    verdicts: list[bool | None] = []
+    for i, j in zip(starts, [*starts[1:], len(lot)]):
+        verdicts += compare(texts[i:j], bands[i:j], int(band[i]), block[i:j])
+    return pd.DataFrame({"id": lot["id"].to_numpy(), "cut": pd.Series(verdicts, dtype=object)}).dropna()
 
 
 def near_copies(docs: DataFrame, documents: DataFrame) -> DataFrame:
@@ -356,10 +379,15 @@ def near_copies(docs: DataFrame, documents: DataFrame) -> DataFrame:
     total = shared.agg(F.sum("n")).first()[0] or 0
     members = join_stats(members, shared, "bucket", "n", total).withColumn("n_blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     members = cut(members.withColumn("block", F.pmod(F.xxhash64("id", "bucket"), F.col("n_blocks")).cast("int")), "members")
-    bodies = documents.select(F.col("doc_id").alias("id"), "text").join(members.select("id").distinct(), "id", "left_semi")
+    ids = cut(members.select("id").distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+    bodies = cut(documents.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi"), "bodies")
     met = members.join(bodies, "id").withColumn("other", F.explode(F.expr("sequence(0, n_blocks - 1)")))
     met = met.select("id", "text", "bands", "band", "block", "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    verified = met.groupBy("bucket", "low", "high").applyInPandas(_compared, "id BIGINT, cut BOOLEAN")
+    # several groups a call, which costs more than comparing a few texts
+    lots = max(1, -(-(members.agg(F.sum("n_blocks")).first()[0] or 0) // LOT))
+    met = met.withColumn("lot", F.pmod(F.xxhash64("bucket", "low", "high"), F.lit(lots)))
+    verified = met.groupBy("lot").applyInPandas(_compared, "id BIGINT, cut BOOLEAN")
     return verified.groupBy(F.col("id").alias("doc_id")).agg(F.max("cut").alias("cut"))
 
 
