@@ -169,13 +169,13 @@ def shares(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def kept(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Per target: the source's documents of any size, and whether the report's figures fit together: no use beyond max_repeats, no budget exceeded, none missed by a source that could repeat more."""
+    """Per target: the source's documents of any size, and whether the report's figures fit together: no use beyond max_repeats, no budget exceeded, all documents used as often as allowed where that does not fill it."""
     sized, targets = _inputs(spark, data_dir)
     total = _size(sized)
     rows = report(cut(mix(sized, targets, total), "mix"), sized, targets, "collection")
     budget = F.floor(F.col("target_share") * total)
     most = F.col("has_tokens") * F.col("max_repeats")
-    whole = F.when(most <= budget, F.col("used_tokens") == most).otherwise((F.col("used_tokens") <= budget) & (F.col("used_tokens") > budget * 0.999 - 2))
+    whole = F.when(most <= budget, F.col("used_tokens") == most).otherwise(F.col("used_tokens") <= budget)
     return rows.select("source", "documents", (F.col("most_uses") <= F.col("max_repeats")).alias("repeats_kept"), whole.alias("share_kept"))
 
 
