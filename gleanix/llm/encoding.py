@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from gleanix.session import cut
@@ -140,16 +140,23 @@ def _garble(c: str, codec: str) -> str:
     return "".join(back[b] for b in c.encode("utf-8"))
 
 
-_EVIDENCE = "doc_id BIGINT, feed STRING, chain STRING, garbled ARRAY<STRING>, restored ARRAY<STRING>, n ARRAY<INT>"
+_EVIDENCE = "doc_id BIGINT, feed STRING, chains ARRAY<STRING>, at ARRAY<INT>, garbled ARRAY<STRING>, restored ARRAY<STRING>, n ARRAY<INT>"
 
 
 def signs(records: DataFrame) -> DataFrame:
-    """(doc_id, feed, doc_in) -> one row per record and chain of which it has a trace.  Only texts with a character beyond ASCII or an entity leave the JVM."""
+    """(doc_id, feed, doc_in) -> one row per record with a trace of a chain: the chains, and its sequences, each with the place of its chain in ``at``.
+
+    Only texts with a character beyond ASCII or an entity leave the JVM.
+    """
 
     def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            rows = [(i, f, chain, [g for g, _ in seen], [u for _, u in seen], list(seen.values())) for i, f, t in zip(p.doc_id, p.feed, p.doc_in) for chain, seen in evidence(t)]
-            yield pd.DataFrame(rows, columns=["doc_id", "feed", "chain", "garbled", "restored", "n"])
+            rows = []
+            for i, f, t in zip(p.doc_id, p.feed, p.doc_in):
+                if traces := list(evidence(t)):
+                    seen = [(at, g, u, k) for at, (_, counts) in enumerate(traces) for (g, u), k in counts.items()]
+                    rows.append((i, f, [chain for chain, _ in traces], *map(list, zip(*seen))))
+            yield pd.DataFrame(rows, columns=["doc_id", "feed", "chains", "at", "garbled", "restored", "n"])
 
     return records.where(F.col("doc_in").rlike(r"[^\x00-\x7F]|&#?\w+;")).mapInPandas(scan, _EVIDENCE)
 
@@ -170,7 +177,7 @@ def _usual(c: str) -> float:
 
 
 def _score(chars: Counter):
-    """The log of how much likelier each row's sequences are under its chain than as sound text.
+    """A function that gives the log of how much likelier a sequence is as the restored character than as sound text.
 
     A character's probability is its share of the characters beyond ASCII,
     backed off to its block of 128 code points.  In sound text few of them
@@ -204,9 +211,8 @@ def _score(chars: Counter):
             before = c
         return logs
 
-    @F.pandas_udf("double")
-    def score(garbled: pd.Series, restored: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([sum(k * ((original(u, len(g)) if u else 0.0) - sound(g)) for g, u, k in zip(gs, us, ks)) for gs, us, ks in zip(garbled, restored, n)], dtype="float64")
+    def score(garbled: str, restored: str) -> float:
+        return (original(restored, len(garbled)) if restored else 0.0) - sound(garbled)
 
     return score
 
@@ -224,6 +230,10 @@ def posteriors(records: DataFrame, most_rounds: int = 25, settled: float = 1e-3,
     Rounds end when the weights of all feeds and chains have moved by no more
     than ``settled`` of their sum, or after ``most_rounds``.
     ``doc_id`` must be unique.  Null texts have no trace.
+
+    A record is one row with all its chains, so that a round is one join, by
+    feed, and few exchanges: the driver keeps a thread for each exchange and
+    broadcast for a minute, and the plans of all rounds for as long as it lives.
     """
     records = records.where("doc_in IS NOT NULL").withColumn("feed", F.coalesce("feed", F.lit("")))
     found = cut(signs(records), "signs")
@@ -231,36 +241,54 @@ def posteriors(records: DataFrame, most_rounds: int = 25, settled: float = 1e-3,
     feeds = cut(records.groupBy("feed").agg(F.count(F.lit(1)).cast("double").alias("n_feed")), "feeds")
     n_all = feeds.agg(F.sum("n_feed")).first()[0] or 0
     chars = base
-    weights = cut(found.groupBy("feed", "chain").agg(F.countDistinct("doc_id").cast("double").alias("w")), "weights")
+    weights = found.select("feed", F.explode("chains").alias("chain")).groupBy("feed", "chain").agg(F.count(F.lit(1)).cast("double").alias("now"))
+    weights = cut(weights.join(feeds, "feed").withColumn("w", F.lit(0.0)), "weights")
+    totals = _totals(weights)
     for _ in range(most_rounds):
-        post = cut(_expect(found, weights, feeds, n_all, pull, _score(chars)), "posterior")
-        moved = cut(post.groupBy("feed", "chain").agg(F.sum("posterior").alias("now")).join(weights, ["feed", "chain"], "full").select("feed", "chain", F.coalesce("now", F.lit(0.0)).alias("now"), F.coalesce("w", F.lit(0.0)).alias("w")), "weights")
-        total = moved.agg(F.sum(F.abs(F.col("now") - F.col("w"))).alias("by"), F.sum("now").alias("all")).first()
-        if total.by is None or total.by <= settled * (total["all"] or 0.0):
+        share = {r.chain: r.now / max(1, n_all) for r in totals}
+        post = cut(_expect(found, weights, share, pull, _score(chars)), "posterior")
+        each = post.select("feed", "n_feed", F.explode(F.arrays_zip("chains", "posteriors", "w")).alias("s"))
+        weights = cut(each.groupBy("feed", F.col("s.chains").alias("chain")).agg(F.sum("s.posteriors").alias("now"), F.max("s.w").alias("w"), F.max("n_feed").alias("n_feed")), "weights")
+        totals = _totals(weights)
+        if sum(r.by for r in totals) <= settled * sum(r.now for r in totals):
             break
-        weights = moved.select("feed", "chain", F.col("now").alias("w"))
         chars = _maximise(base, post)
-    return post.select("doc_id", "chain", "posterior")
+    return post.select("doc_id", F.explode(F.arrays_zip("chains", "posteriors")).alias("s")).select("doc_id", F.col("s.chains").alias("chain"), F.col("s.posteriors").alias("posterior"))
+
+
+def _totals(weights: DataFrame) -> list[Row]:
+    """(chain, now, by): each chain's weight over all feeds, and by how much it moved.  There are no more rows than chains."""
+    return weights.groupBy("chain").agg(F.sum("now").alias("now"), F.sum(F.abs(F.col("now") - F.col("w"))).alias("by")).collect()
+
+
+def _expect(found: DataFrame, weights: DataFrame, share: dict[str, float], pull: float, score) -> DataFrame:
+    """The records with the posteriors of their chains, the weights these started from and the size of the feed."""
 
+    @F.pandas_udf("array<double>")
+    def posterior(chains: pd.Series, at: pd.Series, garbled: pd.Series, restored: pd.Series, n: pd.Series, w: pd.Series, w_feed: pd.Series, n_feed: pd.Series) -> pd.Series:
+        out = []
+        for names, places, gs, us, ks, ws, in_feed, size in zip(chains, at, garbled, restored, n, w, w_feed, n_feed):
+            clean = math.log(max(size - in_feed, 0.5) / size)
+            xs = [math.log(max((v + pull * share[c]) / (size + pull), 1e-12)) - clean for c, v in zip(names, ws)]
+            for place, g, u, k in zip(places, gs, us, ks):
+                xs[place] += k * score(g, u)
+            top = max(0.0, *xs)
+            norm = top + math.log(math.exp(-top) + sum(math.exp(x - top) for x in xs))
+            out.append([math.exp(x - norm) for x in xs])
+        return pd.Series(out, dtype=object)
 
-def _expect(found: DataFrame, weights: DataFrame, feeds: DataFrame, n_all: int, pull: float, score) -> DataFrame:
-    overall = weights.groupBy("chain").agg((F.sum("w") / F.lit(float(max(1, n_all)))).alias("share"))
-    prior = weights.join(feeds, "feed").join(F.broadcast(overall), "chain")  # one row for each of a fixed set of chains
-    garbled = weights.groupBy("feed").agg(F.sum("w").alias("w_feed"))
-    prior = prior.join(garbled, "feed").select("feed", "chain", ((F.col("w") + pull * F.col("share")) / (F.col("n_feed") + pull)).alias("p"), (F.greatest(F.col("n_feed") - F.col("w_feed"), F.lit(0.5)) / F.col("n_feed")).alias("p_clean"))
-    odds = found.withColumn("llr", score("garbled", "restored", "n")).join(prior, ["feed", "chain"]).withColumn("x", F.col("llr") + F.ln(F.greatest("p", F.lit(1e-12))) - F.ln("p_clean"))
-    top = odds.groupBy("doc_id").agg(F.max("x").alias("top"), F.collect_list("x").alias("xs"))  # at most one x for each chain
-    norm = top.select("doc_id", (F.greatest("top", F.lit(0.0)) + F.ln(F.aggregate("xs", F.exp(-F.greatest("top", F.lit(0.0))), lambda a, x: a + F.exp(x - F.greatest("top", F.lit(0.0)))))).alias("norm"))
-    return odds.join(norm, "doc_id").withColumn("posterior", F.exp(F.col("x") - F.col("norm"))).select("doc_id", "feed", "chain", "garbled", "restored", "n", "posterior")
+    of_feed = weights.groupBy("feed").agg(F.map_from_entries(F.collect_list(F.struct("chain", "now"))).alias("of"), F.sum("now").alias("w_feed"), F.max("n_feed").alias("n_feed"))
+    known = found.join(of_feed, "feed").withColumn("w", F.transform("chains", lambda c: F.element_at("of", c))).drop("of")
+    return known.withColumn("posteriors", posterior("chains", "at", "garbled", "restored", "n", "w", "w_feed", "n_feed")).drop("w_feed")
 
 
 def _maximise(base: Counter, post: DataFrame) -> Counter:
-    seq = post.select("posterior", F.explode(F.arrays_zip("garbled", "restored", "n")).alias("s"))
-    weight = F.col("posterior") * F.col("s.n")
-    gone = seq.select(F.explode(F.split("s.garbled", "")).alias("c"), (-weight).alias("w"))
-    come = seq.select(F.explode(F.split("s.restored", "")).alias("c"), weight.alias("w"))
+    seq = post.select("posteriors", F.explode(F.arrays_zip("at", "garbled", "restored", "n")).alias("s"))
+    seq = seq.select((F.get("posteriors", F.col("s.at")) * F.col("s.n")).alias("w"), "s.garbled", "s.restored")
+    of = lambda text, w: F.transform(F.split(text, ""), lambda c: F.struct(c.alias("c"), w.alias("w")))
+    moved = seq.select(F.explode(F.concat(of("garbled", -F.col("w")), of("restored", F.col("w")))).alias("s")).select("s.c", "s.w")
     chars = Counter(base)
-    for r in gone.unionByName(come).where("c <> ''").groupBy("c").agg(F.sum("w").alias("w")).collect():
+    for r in moved.where("c <> ''").groupBy("c").agg(F.sum("w").alias("w")).collect():
         if r.w <= 0 or base[r.c] > 0 or _usual(r.c) == 1.0:  # traces alone don't make a character one of the language's
             chars[r.c] = max(0.0, chars[r.c] + r.w)
     return chars

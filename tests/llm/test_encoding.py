@@ -122,3 +122,22 @@ def test_empty_tables(spark, tables):
     assert E.found(spark, data).collect() == E.restored(spark, data).collect() == []
     data = tables(collection_tsv=[(1, None, None, None), (None, "Ã©", "f", T0)])
     assert E.found(spark, data).collect() == []
+
+
+def test_a_round_is_few_exchanges(spark):
+    """The driver keeps a thread for each exchange and broadcast for a minute; fourteen a round took more memory than it has."""
+    docs = spark.createDataFrame([(i, f"feed {i % 3}", garble(SOUND[i % 3], "cp1252") if i % 2 else SOUND[i % 3]) for i in range(60)], "doc_id BIGINT, feed STRING, doc_in STRING")
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def runs() -> set[int]:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        kept = store.executionsList()  # the last thousand
+        return {kept.apply(k).executionId() for k in range(kept.size())}
+
+    def exchanges(rounds: int) -> int:
+        before = runs()
+        E.posteriors(docs, most_rounds=rounds, settled=-1.0)
+        graphs = [store.planGraph(run).allNodes() for run in runs() - before]
+        return sum(g.apply(k).name().endswith("Exchange") for g in graphs for k in range(g.size()))
+
+    assert 0 < exchanges(5) - exchanges(2) <= 3 * 6
