@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ BROADCAST_ROWS, PUSHED_TERMS = 200_000, 1_000
 PUSHED_RANGES = 64
 #: Ids of a cell, in which documents and blocks meet.
 CELL = 4096
+#: Postings of a chunk of documents that a batch is scored against at once, about.
+CHUNK_POSTINGS = 1_000_000
 #: Scores are rounded to six places, so bounds are compared with as much tolerance.
 EPSILON = 2e-6
 
@@ -82,6 +86,123 @@ def _mode(mode: str) -> None:
         raise ValueError("mode must be 'or' or 'and'")
 
 
+def _lookup(ids: np.ndarray, listed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``ids`` are in the ascending ``listed``, and the places there of those that are."""
+    at = np.minimum(np.searchsorted(listed, ids), len(listed) - 1)
+    hit = listed[at] == ids
+    return hit, at[hit]
+
+
+def _foremost(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """All documents that can be among the k best once scores are rounded: of equal scores the k smallest ids."""
+    if len(score) > k:
+        keep = score >= np.partition(score, -k)[-k] - EPSILON
+        ids, score = ids[keep], score[keep]
+    if len(score) > k:
+        order = np.lexsort((ids, -score))
+        ids, score, n = ids[order], score[order], np.arange(len(order))
+        keep = n - np.maximum.accumulate(np.where(np.r_[True, score[1:] != score[:-1]], n, 0)) < k
+        ids, score = ids[keep], score[keep]
+    return ids, score
+
+
+def _chunk_scores(mode: str, k: int):
+    """A function that scores the queries of a slice against the postings of a chunk of documents.
+
+    'and' goes from a query's shortest list to its longest, so it costs what the
+    shortest holds.  'or' adds up the lists of the needed terms and looks the
+    others up only for documents that can still be among the k best.
+    """
+
+    def run(postings: pd.DataFrame, terms: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"no": np.zeros(0, "int64"), "doc_id": np.zeros(0, "int64"), "score": np.zeros(0)})
+        if postings.empty or terms.empty:
+            return none
+        docs, place = np.unique(postings["doc_id"].to_numpy(), return_inverse=True)
+        tid, w = postings["tid"].to_numpy(), postings["w"].to_numpy()
+        order = np.lexsort((place, tid))
+        tid, place, w = tid[order], place[order], w[order]
+        listed, starts = np.unique(tid, return_index=True)
+        lists = {t: (place[a:b], w[a:b]) for t, a, b in zip(listed.tolist(), starts.tolist(), [*starts[1:].tolist(), len(tid)], strict=True)}
+        total, seen = np.zeros(len(docs)), np.zeros(len(docs), dtype=bool)
+
+        def conjunctive(found: list) -> tuple[np.ndarray, np.ndarray]:
+            found = sorted(found, key=lambda x: len(x[0]))
+            ids, score = found[0]
+            for more, weights in found[1:]:
+                hit, at = _lookup(ids, more)
+                ids, score = ids[hit], score[hit] + weights[at]
+            return ids, score
+
+        def disjunctive(found: list, rest: list, least: float, open_: float) -> tuple[np.ndarray, np.ndarray]:
+            if len(found) == 1:
+                ids, score = found[0][0], found[0][1].copy()
+            else:
+                for more, weights in found:
+                    total[more] += weights
+                    seen[more] = True
+                ids = np.flatnonzero(seen)
+                score = total[ids]
+                total[ids], seen[ids] = 0, False
+            if rest:
+                reach = max(least, np.partition(score, -k)[-k]) if len(score) >= k else least
+                keep = score + open_ >= reach - EPSILON
+                ids, score = ids[keep], score[keep]
+                for more, weights in rest:
+                    hit, at = _lookup(ids, more)
+                    score[hit] += weights[at]
+            keep = score >= least - EPSILON
+            return ids[keep], score[keep]
+
+        terms = terms.sort_values("no")
+        asked, begins = np.unique(terms["no"].to_numpy(), return_index=True)
+        ends = [*begins[1:].tolist(), len(terms)]
+        words, needed, least, opens = (terms[c].tolist() for c in ("word", "needed", "least", "open"))
+        out = []
+        for no, a, b in zip(asked.tolist(), begins.tolist(), ends, strict=True):
+            if mode == "and":
+                found = [lists[t] for t in words[a:b] if t in lists]
+                if len(found) < b - a:
+                    continue
+                ids, score = conjunctive(found)
+            else:
+                found = [lists[t] for t, n in zip(words[a:b], needed[a:b], strict=True) if n and t in lists]
+                if not found:
+                    continue
+                rest = [lists[t] for t, n in zip(words[a:b], needed[a:b], strict=True) if not n and t in lists]
+                ids, score = disjunctive(found, rest, least[a], opens[a])
+            ids, score = _foremost(ids, score, k)
+            out.append((np.full(len(ids), no), docs[ids], score))
+        if not out:
+            return none
+        return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("no", "doc_id", "score"), zip(*out, strict=True), strict=True)})
+
+    return run
+
+
+def _batch_scores(sets: DataFrame, index: Index, mode: str, scoring: str, k: int, floor: bool) -> DataFrame:
+    """(no, doc_id, score) of the documents that can be among the k best of a term set; ``sets`` is a written table (no, of, least, open).
+
+    Postings are exchanged once, by document, as numbers: all that a document
+    scores in any query is then known in its chunk, and only a chunk's best
+    leave it.  Each chunk meets each slice of BROADCAST_ROWS (set, term) rows.
+    """
+    rows = sets.select("no", "least", "open", F.explode("of").alias("t")).select("no", "least", "open", "t.*")
+    words = cut(rows.select("term", "df").distinct().withColumn("tid", F.monotonically_increasing_id()), "words")
+    size = words.agg(F.count(F.lit(1)).alias("terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings")).first()
+    chunks = max(2 * sets.sparkSession.sparkContext.defaultParallelism, -(-size.postings // CHUNK_POSTINGS))
+    slices = max(1, -(-(sets.agg(F.sum(F.size("of"))).first()[0] or 0) // BROADCAST_ROWS))
+    postings = index.postings.select("term", "doc_id", "tf", "dl")
+    if size.terms <= PUSHED_TERMS:
+        postings = postings.where(F.col("term").isin([r.term for r in words.select("term").collect()]))
+    postings = postings.join(F.broadcast(words), "term") if size.terms <= BROADCAST_ROWS else join_stats(postings, words, "term", "df", size.postings)
+    of = lambda by, n, name: F.pmod(F.xxhash64(by), F.lit(n)).alias(name)
+    each = lambda n, name: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias(name)
+    left = _weighted(postings, index, scoring, floor).select(of("doc_id", chunks, "chunk"), each(slices, "slice"), "tid", "doc_id", "w")
+    right = rows.join(words.select("term", F.col("tid").alias("word")), "term").select(each(chunks, "chunk"), of("no", slices, "slice"), "no", "word", "needed", "least", "open")
+    return left.groupBy("chunk", "slice").cogroup(right.groupBy("chunk", "slice")).applyInPandas(_chunk_scores(mode, k), "no BIGINT, doc_id BIGINT, score DOUBLE")
+
+
 def search_batch(queries: DataFrame, index: Index, mode: str = "or", scoring: str = "tfidf", k: int = 3, floor: bool = True, df_source: str = "df") -> DataFrame:
     """(qid, text) -> (qid, rank, doc_id, score): the k best documents of every query in one job.
 
@@ -89,13 +210,16 @@ def search_batch(queries: DataFrame, index: Index, mode: str = "or", scoring: st
     the index has; unknown terms are passed over and repeated ones count once.
     Scores are rounded to six places before they are ordered; ties go to the
     smaller doc_id.  Queries without a known term have no row.
+
+    Queries of the same terms are scored once.
     """
     _mode(mode)
-    rows = _matches(cut(query_lexicon(queries, index, df_source), "terms"), index, scoring, floor)
-    scores = rows.groupBy("qid", "doc_id").agg(F.sum("w").alias("score"), F.count(F.lit(1)).alias("n"), F.first("n_terms").alias("n_terms"))
-    if mode == "and":
-        scores = scores.where("n = n_terms")
-    return _top(scores, k)
+    terms = query_lexicon(queries, index, df_source).select("*", F.lit(0.0).alias("ub"), F.lit(None).cast("double").alias("least"), F.lit(True).alias("needed"))
+    asked = terms.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("term", "df", "needed"))).alias("of"), F.coalesce(F.first("least"), F.lit(float("-inf"))).alias("least"), F.sum(F.when(F.col("needed"), 0.0).otherwise(F.col("ub"))).alias("open"))
+    asked = cut(asked, "asked")
+    sets = cut(asked.groupBy("of").agg(F.first("least").alias("least"), F.max("open").alias("open")).withColumn("no", F.monotonically_increasing_id()), "sets")
+    best = _top(_batch_scores(sets, index, mode, scoring, k, floor).withColumnRenamed("no", "qid"), k).withColumnRenamed("qid", "no")
+    return asked.select("qid", "of").join(sets.select("of", "no"), "of").select("qid", "no").join(best, "no").select("qid", "rank", "doc_id", "score")
 
 
 def search(text: str, index: Index, mode: str = "or", scoring: str = "tfidf", k: int = 3, floor: bool = True, df_source: str = "df", pruned: bool = False) -> DataFrame:
