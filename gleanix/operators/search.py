@@ -211,10 +211,16 @@ def search_batch(queries: DataFrame, index: Index, mode: str = "or", scoring: st
     Scores are rounded to six places before they are ordered; ties go to the
     smaller doc_id.  Queries without a known term have no row.
 
-    Queries of the same terms are scored once.
+    Queries of the same terms are scored once.  In mode 'or' with df and floor
+    of the index, the lexicon's bounds tell which terms of a query are needed
+    (see :func:`search_pruned`), unless one of its weights may be negative.
     """
     _mode(mode)
-    terms = query_lexicon(queries, index, df_source).select("*", F.lit(0.0).alias("ub"), F.lit(None).cast("double").alias("least"), F.lit(True).alias("needed"))
+    if mode == "or" and df_source == "df" and floor == index.floor:
+        terms = bound_prefixes(queries, index, scoring, k).withColumn("least", F.when(F.max("df").over(Window.partitionBy("qid")) <= index.n_docs, F.col("least")))
+        terms = terms.withColumn("needed", F.coalesce(F.col("upto") >= F.col("least") - EPSILON, F.lit(True)))
+    else:
+        terms = query_lexicon(queries, index, df_source).select("*", F.lit(0.0).alias("ub"), F.lit(None).cast("double").alias("least"), F.lit(True).alias("needed"))
     asked = terms.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("term", "df", "needed"))).alias("of"), F.coalesce(F.first("least"), F.lit(float("-inf"))).alias("least"), F.sum(F.when(F.col("needed"), 0.0).otherwise(F.col("ub"))).alias("open"))
     asked = cut(asked, "asked")
     sets = cut(asked.groupBy("of").agg(F.first("least").alias("least"), F.max("open").alias("open")).withColumn("no", F.monotonically_increasing_id()), "sets")

@@ -52,3 +52,7 @@ def _check(spark, common, capsys, mode, scoring):
 
 def test_common_terms_and(spark, common, capsys):
     _check(spark, common, capsys, "and", "bm25")
+
+
+def test_common_terms_or(spark, common, capsys):
+    _check(spark, common, capsys, "or", "tfidf")
